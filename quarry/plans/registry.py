@@ -39,4 +39,4 @@ def all_entries() -> dict[str, Entry]:
 
 
 # modules that register queries, in report order
-MODULES = ["q_multilevel", "q_text", "q_compare", "q_report", "q_sample"]
+MODULES = ["q_multilevel", "q_workload", "q_text", "q_compare", "q_report", "q_sample"]

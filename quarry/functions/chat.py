@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import strip
+from quarry.functions.text import repair_hint_text, strip
 
 # -- fixed values: prompt texts and chat turn markers --------------------------
 SYSTEM_PROMPT = (
@@ -17,6 +17,9 @@ SCHEMA_HEAD = "### Schema\n"
 QUESTION_HEAD = "\n\n### Question\n"
 TURN_OPEN = "<|im_start|>"
 TURN_CLOSE = "<|im_end|>\n"
+REPAIR_HEADS = ("### Schema\n", "\n\n### Question\n", "\n\n### Previous answer\n",
+                "\n\n### Error from the database\n", "\n\n")
+REPAIR_ASK = "Rewrite the query so that it runs, using only the tables and columns of the schema."
 # -----------------------------------------------------------------------------
 
 
@@ -71,3 +74,11 @@ def replace_first(s, old, new) -> Column:
     spliced = F.concat(s.substr(F.lit(1), pos - 1), new,
                        s.substr(pos + F.length(old), F.length(s) + 1))
     return F.when(pos > 0, spliced).otherwise(s)
+
+
+def repair_prompt(schema, question, sql, err) -> Column:
+    """Repair prompt: schema, question, previous SQL, error, and the hint
+    for the error class (PRJ-8)."""
+    h = REPAIR_HEADS
+    return F.concat(F.lit(h[0]), strip(schema), F.lit(h[1]), strip(question), F.lit(h[2]), _c(sql),
+                    F.lit(h[3]), _c(err), F.lit(h[4]), F.lit(REPAIR_ASK), repair_hint_text(err))

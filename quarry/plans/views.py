@@ -260,6 +260,55 @@ UNION ALL
 SELECT user_id % 16 AS stream_id, event_id AS line_no, {_FRAME} AS value FROM events
 WHERE event_id % 10 = 0"""
 
+REQUESTS = f"""
+SELECT example_id AS request_id,
+       CASE WHEN example_id % 43 = 0 THEN repeat(sql_context, 200) ELSE sql_context END AS schema,
+       CASE WHEN example_id % 31 = 0 THEN '' WHEN example_id % 37 = 0 THEN '   ' ELSE question END AS question,
+       CASE WHEN {hexd("'t|' || " + s('example_id'), 1)} < 4 THEN NULL
+            ELSE {hexd("'t|' || " + s('example_id'), 1)} * 40 END AS max_tokens,
+       CASE WHEN {hexd("'t|' || " + s('example_id'), 2)} < 4 THEN NULL
+            ELSE CAST({hexd("'t|' || " + s('example_id'), 2)} - 6 AS DOUBLE) / 5 END AS temperature
+FROM examples"""
+
+# One served request per example: kind, outcome flags and latency.
+E2E_RESULTS = f"""
+SELECT example_id, question, {class_of('example_id % 8')} AS kind,
+       CASE WHEN example_id % 29 = 0 THEN 'failed' ELSE 'ok' END AS status,
+       example_id % 7 <> 6 AS executed,
+       example_id % 7 <> 6 AND {hexd("'e|' || " + s('example_id'), 1)} < 13 AS correct,
+       example_id % 7 IN (1, 3, 4) AS repaired,
+       1.0 + CAST({hexd("'e|' || " + s('example_id'), 2)} AS DOUBLE) / 8 AS seconds
+FROM examples"""
+
+# Execution accuracy per example, model and prompt kind (bare or enriched schema).
+def _prompt_outcome(model: str, kind: str) -> str:
+    d = hexd(f"'{model}/{kind}|' || {s('example_id')}", 1)
+    return (f"SELECT example_id, '{model}' AS model, '{kind}' AS prompt_kind, "
+            f"{d} < {12 if model == 'tuned' else 11} + {1 if kind == 'enriched' else 0} AS exec_ok "
+            f"FROM examples")
+
+
+PROMPT_OUTCOMES = "\nUNION ALL\n".join(
+    _prompt_outcome(m, k) for m in ("base", "tuned") for k in ("bare", "enriched"))
+
+# Server-sent event lines of result streams: "event:" and "data:" lines, a
+# blank line after every frame; the event name carries over to later frames.
+_EV = f"""(CASE WHEN event_type = 'purchase' THEN 'event: complete'
+                WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'event: error'
+                WHEN event_type = 'view' THEN 'event: heartbeat'
+                ELSE '' END)"""
+_DATA = f"""(CASE WHEN event_type = 'purchase'
+                 THEN 'data: ["SELECT ' || {s('event_id')} || '", "| n |", {{"executed": true, "row_count": ' || {s('user_id')} || '}}]'
+                 WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'data: null'
+                 WHEN event_type = 'error' THEN 'data: backend failed ' || {s('event_id')}
+                 ELSE 'data: {{"progress": ' || {s('event_id % 100')} || '}}' END)"""
+SSE_LINES = f"""
+SELECT user_id AS stream_id, event_id * 3 AS line_no, {_EV} AS line FROM events WHERE {_EV} <> ''
+UNION ALL
+SELECT user_id AS stream_id, event_id * 3 + 1 AS line_no, {_DATA} AS line FROM events
+UNION ALL
+SELECT user_id AS stream_id, event_id * 3 + 2 AS line_no, '' AS line FROM events"""
+
 # name -> (sql, dependencies)
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "examples": (EXAMPLES, ()),
@@ -273,6 +322,10 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "catalog": (CATALOG, ("examples", "schema_columns")),
     "class_stats": (CLASS_STATS, ()),
     "log_frames": (LOG_FRAMES, ()),
+    "requests": (REQUESTS, ("examples",)),
+    "e2e_results": (E2E_RESULTS, ("examples",)),
+    "prompt_outcomes": (PROMPT_OUTCOMES, ("examples",)),
+    "sse_lines": (SSE_LINES, ()),
 }
 
 

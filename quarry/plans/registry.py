@@ -39,4 +39,4 @@ def all_entries() -> dict[str, Entry]:
 
 
 # modules that register queries, in report order
-MODULES = ["q_multilevel", "q_workload", "q_text", "q_compare", "q_report", "q_sample", "q_catalog", "q_select", "q_prompt", "q_generate"]
+MODULES = ["q_multilevel", "q_workload", "q_text", "q_compare", "q_report", "q_sample", "q_catalog", "q_select", "q_prompt", "q_generate", "q_exec", "q_io", "q_stream"]

@@ -62,7 +62,8 @@ _DDL = ("'CREATE TABLE customers (customer_id INTEGER PRIMARY KEY, name TEXT, co
 
 
 def _ins(broken: bool) -> str:
-    close = "'));'" if broken else "');'"
+    # SQL literal that closes the last value: ') + ';' (or a stray extra ')')
+    close = "'''));'" if broken else "''');'"
     return (f"chr(10) || 'INSERT INTO customers VALUES (' || {s(_C)} || ', ''Customer ' || {s(_C)} "
             f"|| ''', ''NATION_' || {s(f'{_C} % 25')} || ''');' || chr(10) || "
             f"'INSERT INTO orders VALUES (' || {s(_K)} || ', ' || {s(_C)} || ', ' || {_PRICE} "
@@ -221,8 +222,9 @@ def _values(rows, names) -> str:
     return f"(VALUES {body}) AS t({', '.join(names)})"
 
 
-# one copy per context variant whose script builds (0, 1 lower case, 3 empty)
-SCHEMA_COLS_SQL = f"SELECT * FROM {_values([(v, t, c, o, ty.lower() if v == 1 else ty, pk) for v in (0, 1, 3) for (t, c, o, ty, pk) in SCHEMA_COLUMNS], ['v', 'tbl', 'col', 'ordinal', 'type', 'pk'])}"
+# one copy per context variant whose script builds (0, 1 lower case, 3 empty);
+# SQLite reports the standard type names in upper case whatever the script says
+SCHEMA_COLS_SQL = f"SELECT * FROM {_values([(v, t, c, o, ty, pk) for v in (0, 1, 3) for (t, c, o, ty, pk) in SCHEMA_COLUMNS], ['v', 'tbl', 'col', 'ordinal', 'type', 'pk'])}"
 
 # One catalog per example whose script builds.
 CATALOG = """

@@ -104,7 +104,9 @@ def _exec_batches(step_limit: int):
                     out["error"].append(err)
                     out["pos"].append(pos)
                     out["row_key"].append(key)
-            yield pd.DataFrame(out, columns=list(out)).astype({"pos": "Int64"})
+            if out["example_id"]:
+                yield pd.DataFrame(out, columns=list(out)).astype(
+                    {"example_id": "int64", "runs": "bool", "pos": "Int64"})
     return fn
 
 
@@ -157,7 +159,9 @@ def _catalog_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out["ordinal"].append(int(r[0]))
                 out["type"].append(r[2] or "")
                 out["pk"].append(int(r[5]))
-        yield pd.DataFrame(out, columns=list(out))
+        if out["context_id"]:  # an empty batch is not yielded at all
+            yield pd.DataFrame(out, columns=list(out)).astype(
+                {"context_id": "int64", "ordinal": "int32", "pk": "int32"})
 
 
 def catalog_scan(contexts: DataFrame) -> DataFrame:

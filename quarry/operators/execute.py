@@ -110,10 +110,20 @@ def _exec_batches(step_limit: int):
     return fn
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread the rows over at least twice the cluster's cores when the
+    input has fewer partitions (a few large files): each row is independent
+    CPU work, so parallelism matters more than the one shuffle it costs."""
+    want = df.sparkSession.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
 def execute(tasks: DataFrame, step_limit: int = STEP_LIMIT) -> DataFrame:
     """Run (example_id, side, context, sql) tasks.  One output row per result
     row; a query that failed or returned nothing gives one row with NULL pos."""
-    t = tasks.select(F.col("example_id").cast("long"), "side", "context", "sql")
+    t = spread(tasks.select(F.col("example_id").cast("long"), "side", "context", "sql"), "example_id")
     return t.mapInPandas(_exec_batches(step_limit), EXEC_SCHEMA)
 
 
@@ -166,8 +176,8 @@ def _catalog_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def catalog_scan(contexts: DataFrame) -> DataFrame:
     """(context_id, context) -> catalog rows from SQLite's own catalog (SRC-6)."""
-    return contexts.select(F.col("context_id").cast("long"), "context").mapInPandas(
-        _catalog_batches, CATALOG_SCHEMA)
+    c = spread(contexts.select(F.col("context_id").cast("long"), "context"), "context_id")
+    return c.mapInPandas(_catalog_batches, CATALOG_SCHEMA)
 
 
 def run_workload(spark: SparkSession, pairs, views: dict[str, DataFrame]) -> DataFrame:

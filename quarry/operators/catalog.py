@@ -17,6 +17,7 @@ HEAD_1 = "-- Column index. Each column belongs to exactly the table listed here;
 HEAD_2 = "-- qualify every column with its own table and do not move one between tables."
 JOIN_HEAD = "-- Join paths:"
 SHARED_HEAD = "-- These column names appear in several tables, so always qualify them:"
+SAMPLE_HEAD = "-- Sample values:"
 INDENT = "--   "
 # -------------------------------------------------------------------------------
 
@@ -79,10 +80,21 @@ def enrichment_block(cat: DataFrame) -> DataFrame:
     return j.select("context_id", F.array_join(parts, "\n").alias("block"))
 
 
-def enrich_schema(schemas: DataFrame, cat: DataFrame, schema_col: str = "sql_context") -> DataFrame:
+def enrich_schema(schemas: DataFrame, cat: DataFrame, schema_col: str = "sql_context",
+                  samples: DataFrame | None = None) -> DataFrame:
     """Schema text plus its block; schemas without catalog rows (did not
-    build, or no tables) are returned unchanged."""
+    build, or no tables) are returned unchanged.  ``samples``
+    (context_id, tbl, line) adds the sample-values section (WIN-9)."""
     b = enrichment_block(cat)
+    if samples is not None:
+        sl = (samples.groupBy("context_id")
+              .agg(F.array_sort(F.collect_list(F.struct("tbl", "line"))).alias("sl")))  # one per table
+        b = (b.join(sl, "context_id", "left")
+             .select("context_id", F.concat_ws("\n", "block", F.lit(SAMPLE_HEAD),
+                                               F.array_join(F.transform(F.coalesce("sl", F.array()),
+                                                                        lambda x: x["line"]), "\n"))
+                     .alias("block")))
+        b = b.withColumn("block", F.regexp_replace("block", "\n$", ""))
     s = schemas.join(b, "context_id", "left")
     text = F.when(F.col("block").isNull(), F.col(schema_col)).otherwise(
         F.concat(F.regexp_replace(F.col(schema_col), r"\s+$", ""), F.lit("\n\n"), F.col("block")))

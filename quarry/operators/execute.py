@@ -174,6 +174,43 @@ def _catalog_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {"context_id": "int64", "ordinal": "int32", "pk": "int32"})
 
 
+SAMPLE_SCHEMA = "context_id long, tbl string, line string"
+
+
+def _sample_batches(n: int):
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {"context_id": [], "tbl": [], "line": []}
+            for cid, ctx in zip(pdf["context_id"], pdf["context"]):
+                con = _connect(STEP_LIMIT)
+                try:
+                    con.executescript(ctx or "")
+                    tables = [r[0] for r in con.execute(
+                        "SELECT name FROM sqlite_master WHERE type='table' ORDER BY name")]
+                    for t in tables:
+                        cols = [r[1] for r in con.execute(f"PRAGMA table_info({t})")]
+                        rows = con.execute(f"SELECT * FROM {t} LIMIT {int(n)}").fetchall()
+                        if rows:
+                            out["context_id"].append(int(cid))
+                            out["tbl"].append(t)
+                            out["line"].append(f"--   {t}: " + " | ".join(
+                                ", ".join(f"{c}={v!r}" for c, v in zip(cols, row)) for row in rows))
+                except Exception:  # noqa: BLE001 -- unparseable: no samples
+                    pass
+                finally:
+                    con.close()
+            if out["context_id"]:
+                yield pd.DataFrame(out, columns=list(out)).astype({"context_id": "int64"})
+    return fn
+
+
+def sample_rows_scan(contexts: DataFrame, n: int) -> DataFrame:
+    """First ``n`` rows of every table of every script, one rendered line per
+    table (WIN-9); the row count per table is bounded by ``n``."""
+    c = spread(contexts.select(F.col("context_id").cast("long"), "context"), "context_id")
+    return c.mapInPandas(_sample_batches(n), SAMPLE_SCHEMA)
+
+
 def catalog_scan(contexts: DataFrame) -> DataFrame:
     """(context_id, context) -> catalog rows from SQLite's own catalog (SRC-6)."""
     c = spread(contexts.select(F.col("context_id").cast("long"), "context"), "context_id")

@@ -79,3 +79,15 @@ def grounding_errors(spark, sf_dir):
     q = extracted(spark, sf_dir).select(F.col("example_id").alias("context_id"),
                                         F.col("model").alias("query_id"), "sql")
     return K.grounding_errors(q, view(spark, sf_dir, "catalog"))
+
+
+SAMPLE_ROWS = 2
+
+
+@query("enrich_schema_samples")
+def enrich_schema_samples(spark, sf_dir):
+    """Enrichment block with the first rows of every table (WIN-9)."""
+    from quarry.operators import execute as X
+    e = view(spark, sf_dir, "examples").select(F.col("example_id").alias("context_id"), "sql_context")
+    smp = X.sample_rows_scan(e.select("context_id", F.col("sql_context").alias("context")), SAMPLE_ROWS)
+    return K.enrich_schema(e, view(spark, sf_dir, "catalog"), samples=smp)

@@ -10,6 +10,7 @@ from quarry.operators import execute as X
 from quarry.plans.q_text import extracted
 from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
+from quarry.session import cut_lineage
 from quarry.sources.tables import load
 
 
@@ -31,8 +32,12 @@ def execute_examples(spark, sf_dir):
 
 @query("score_examples")
 def score_examples(spark, sf_dir):
-    """(example_id, model, runs, exec_ok): execution accuracy per example."""
-    ex = X.execute(_tasks(spark, sf_dir))
+    """(example_id, model, runs, exec_ok): execution accuracy per example.
+
+    The SQLite output feeds two branches (verdicts and row keys); a reliable
+    checkpoint in the shared folder runs the Python job once and keeps the
+    result if an executor is lost afterwards."""
+    ex = cut_lineage(X.execute(_tasks(spark, sf_dir)))
     e = view(spark, sf_dir, "examples")
     ordered = e.select("example_id", T.is_ordered("gold_sql").alias("ordered"))
     return X.score(ex, ordered, ["base", "tuned"]).withColumnRenamed("side", "model")

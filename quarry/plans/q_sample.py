@@ -10,6 +10,7 @@ from quarry.operators import sample as S
 from quarry.plans.q_text import DUCK_CLASS, DUCK_NORM
 from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
+from quarry.session import cut_lineage
 
 SEED = 42
 SOURCES = ["gretel", "createcontext", "multilevel"]
@@ -114,7 +115,9 @@ def natural_sample(spark, sf_dir):
 
 
 def _splits(spark, sf_dir):
-    pool = balanced(spark, sf_dir).select("example_id")
+    # the pool is read twice (split positions, id exclusion): materialise it
+    # once in the shared checkpoint folder
+    pool = cut_lineage(balanced(spark, sf_dir).select("example_id"))
     pos = S.positions(pool.withColumn("k", S.shuffle_key(SEED, "example_id")), ["k", "example_id"])
     tv = pos.select("example_id", F.when(F.col("pos") < VAL_SIZE, "valid").otherwise("train").alias("split"))
     # held-out test: the first source only, another seed, ids not in the pool

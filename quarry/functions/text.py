@@ -164,4 +164,4 @@ def norm_text(x) -> Column:
 
 def word_tokens(text) -> Column:
     """Token count stand-in: words and single punctuation marks (TXT-9)."""
-    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(r"\w+|[^\w\s]"))
+    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(r"\w+|[^\w\s]")).cast("long")

@@ -33,25 +33,55 @@ NULL_MARK = C.NULL_MARK
 SEP = C.SEP
 
 
-def _authorizer(action, arg1, arg2, db, trigger):
-    if action in (sqlite3.SQLITE_ATTACH, sqlite3.SQLITE_DETACH):
-        return sqlite3.SQLITE_DENY
-    if action == sqlite3.SQLITE_PRAGMA and (arg1 or "").lower() != "table_info":
-        return sqlite3.SQLITE_DENY
-    return sqlite3.SQLITE_OK
+_DENY_IN_SIDE = {sqlite3.SQLITE_TRANSACTION, sqlite3.SQLITE_SAVEPOINT}
+
+
+class _Db:
+    """One in-memory database with the guards; ``side_mode`` additionally
+    refuses transaction control so that a side cannot end its savepoint."""
+
+    def __init__(self, step_limit: int):
+        self.con = sqlite3.connect(":memory:", isolation_level=None)
+        self.con.text_factory = str
+        self.side_mode = False
+        self.steps = 0
+        self.limit = step_limit
+        self.con.set_authorizer(self._auth)
+        self.con.set_progress_handler(self._tick, 1000)
+
+    def _auth(self, action, arg1, arg2, db, trigger):
+        if action in (sqlite3.SQLITE_ATTACH, sqlite3.SQLITE_DETACH):
+            return sqlite3.SQLITE_DENY
+        if action == sqlite3.SQLITE_PRAGMA and (arg1 or "").lower() != "table_info":
+            return sqlite3.SQLITE_DENY
+        if self.side_mode and action in _DENY_IN_SIDE:
+            return sqlite3.SQLITE_DENY
+        return sqlite3.SQLITE_OK
+
+    def _tick(self):
+        self.steps += 1
+        return 1 if self.steps * 1000 > self.limit else 0
+
+    def run_side(self, sql: str):
+        """Run one query; every change it makes is rolled back."""
+        self.steps = 0
+        self.con.execute("SAVEPOINT side")
+        self.side_mode = True
+        try:
+            return None, self.con.execute(sql).fetchall()
+        except Exception as exc:  # noqa: BLE001 -- any failure is a verdict
+            return f"query error: {exc}", []
+        finally:
+            self.side_mode = False
+            self.con.execute("ROLLBACK TO side")
+            self.con.execute("RELEASE side")
 
+    def close(self):
+        self.con.close()
 
-def _connect(step_limit: int) -> sqlite3.Connection:
-    con = sqlite3.connect(":memory:")
-    con.text_factory = str
-    con.set_authorizer(_authorizer)
-    steps = [0]
 
-    def tick():
-        steps[0] += 1
-        return 1 if steps[0] * 1000 > step_limit else 0
-    con.set_progress_handler(tick, 1000)
-    return con
+def _connect(step_limit: int) -> sqlite3.Connection:
+    return _Db(step_limit).con
 
 
 def cell_text(v) -> str:
@@ -68,42 +98,54 @@ def cell_text(v) -> str:
     return str(v).strip()
 
 
-def run_one(context: str, sql: str, step_limit: int = STEP_LIMIT):
-    """(error or None, rows) for one query on a fresh database."""
-    if not sql:
-        return "model produced no SQL", []
-    con = _connect(step_limit)
+def run_sides(context: str, sqls, step_limit: int = STEP_LIMIT):
+    """Build the schema once, run each query on the pristine data: a list of
+    (error or None, rows), one per query."""
+    out = [None] * len(sqls)
+    todo = [i for i, q in enumerate(sqls) if q]
+    for i, q in enumerate(sqls):
+        if not q:
+            out[i] = ("model produced no SQL", [])
+    if not todo:
+        return out
+    db = _Db(step_limit)
     try:
         try:
-            con.executescript(context or "")
-        except Exception as exc:  # noqa: BLE001 -- any failure is a verdict
-            return f"schema error: {exc}", []
-        try:
-            rows = con.execute(sql).fetchall()
+            db.con.executescript(context or "")
         except Exception as exc:  # noqa: BLE001
-            return f"query error: {exc}", []
-        return None, rows
+            for i in todo:
+                out[i] = (f"schema error: {exc}", [])
+            return out
+        for i in todo:
+            out[i] = db.run_side(sqls[i])
+        return out
     finally:
-        con.close()
+        db.close()
+
+
+def run_one(context: str, sql: str, step_limit: int = STEP_LIMIT):
+    """(error or None, rows) for one query on a fresh database."""
+    return run_sides(context, [sql], step_limit)[0]
 
 
 def _exec_batches(step_limit: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = {"example_id": [], "side": [], "runs": [], "error": [], "pos": [], "row_key": []}
-            for eid, side, ctx, sql in zip(pdf["example_id"], pdf["side"], pdf["context"], pdf["sql"]):
-                err, rows = run_one(ctx, sql, step_limit)
-                if err is not None or not rows:
-                    rows_iter = [(None, None)]
-                else:
-                    rows_iter = [(i, SEP.join(cell_text(c) for c in r)) for i, r in enumerate(rows)]
-                for pos, key in rows_iter:
-                    out["example_id"].append(int(eid))
-                    out["side"].append(side)
-                    out["runs"].append(err is None)
-                    out["error"].append(err)
-                    out["pos"].append(pos)
-                    out["row_key"].append(key)
+            for eid, ctx, sides, sqls in zip(pdf["example_id"], pdf["context"], pdf["sides"], pdf["sqls"]):
+                sqls = ["" if q is None else q for q in sqls]
+                for side, (err, rows) in zip(sides, run_sides(ctx, sqls, step_limit)):
+                    if err is not None or not rows:
+                        rows_iter = [(None, None)]
+                    else:
+                        rows_iter = [(i, SEP.join(cell_text(c) for c in r)) for i, r in enumerate(rows)]
+                    for pos, key in rows_iter:
+                        out["example_id"].append(int(eid))
+                        out["side"].append(side)
+                        out["runs"].append(err is None)
+                        out["error"].append(err)
+                        out["pos"].append(pos)
+                        out["row_key"].append(key)
             if out["example_id"]:
                 yield pd.DataFrame(out, columns=list(out)).astype(
                     {"example_id": "int64", "runs": "bool", "pos": "Int64"})
@@ -120,13 +162,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(want, key)
 
 
-def execute(tasks: DataFrame, step_limit: int = STEP_LIMIT) -> DataFrame:
-    """Run (example_id, side, context, sql) tasks.  One output row per result
-    row; a query that failed or returned nothing gives one row with NULL pos."""
-    t = spread(tasks.select(F.col("example_id").cast("long"), "side", "context", "sql"), "example_id")
+def execute_wide(examples: DataFrame, step_limit: int = STEP_LIMIT) -> DataFrame:
+    """(example_id, context, sides array<string>, sqls array<string>): one
+    database per example, every side on pristine data.  One output row per
+    result row; a query that failed or returned nothing gives one row with
+    NULL pos."""
+    t = spread(examples.select(F.col("example_id").cast("long"), "context", "sides", "sqls"), "example_id")
     return t.mapInPandas(_exec_batches(step_limit), EXEC_SCHEMA)
 
 
+def execute(tasks: DataFrame, step_limit: int = STEP_LIMIT) -> DataFrame:
+    """Long form: (example_id, side, context, sql) tasks.  The sides of one
+    example (a handful) are gathered so that its schema is built once."""
+    w = (tasks.groupBy("example_id", "context")
+         .agg(F.array_sort(F.collect_list(F.struct("side", "sql"))).alias("t")))
+    w = w.select("example_id", "context", F.col("t.side").alias("sides"), F.col("t.sql").alias("sqls"))
+    return execute_wide(w, step_limit)
+
+
 def score(executed: DataFrame, ordered: DataFrame, sides) -> DataFrame:
     """(example_id, side, runs, exec_ok) for every predicted side against the
     gold side.  ``ordered``: (example_id, ordered) -- the gold asked for an

@@ -6,13 +6,15 @@ Global order without one huge partition.  ``positions`` gives every row its
 partitions, count rows per partition (one small row per partition), turn the
 counts into offsets with a window over that tiny frame, and add the row's
 index inside its partition.  No ``row_number() OVER (ORDER BY ..)`` over the
-whole table (that is one task) and nothing passes through the driver.
-
-Quota sampling never materialises buckets: a per-(class, source) row number
-in shuffle order decides the pass, a per-class row number over (pass,
-source order, r) decides the take.  Both windows are followed by a constant
-bound, so Catalyst plans a ``WindowGroupLimit`` that cuts every group before
-its shuffle; a hot class or source costs at most ``target`` rows per task.
+whole table (that is one task) and nothing passes through the driver.  The
+tagged, range-partitioned frame is checkpointed once, so both of its readers
+agree on partition ids.
+
+Quota sampling never materialises buckets: a per-(class, source) position
+in shuffle order decides the pass, a per-class position over (pass, source
+order, r) decides the take.  Positions inside a group come from the same
+range-partitioned global order (``group_positions``), so a hot class or
+source is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 MIN_SHARE = 0.03
 
 
@@ -42,9 +46,13 @@ def positions(df: DataFrame, order_cols: Sequence, pos: str = "pos",
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id()))
+    # partition id and in-partition index are physical facts; they are
+    # materialised once (reliable checkpoint in the shared folder) so that
+    # the count branch and the join branch see the same rows in the same
+    # places even if the input would be recomputed under another plan
+    ranged = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                         .withColumn("__pid", F.spark_partition_id())
+                         .withColumn("__mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
@@ -69,6 +77,20 @@ def headroom_quotas(class_stats: DataFrame, total: Column) -> DataFrame:
                      .cast("long").alias("quota"))
 
 
+def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
+                    pos: str = "pos") -> DataFrame:
+    """0-based position of each row inside its group, in ``order_cols`` order.
+
+    One global ``positions`` over (group, order) and the group's first
+    position subtracted: a group holding a third of the rows is spread over
+    many range partitions instead of one window task.
+    """
+    p = positions(df, list(group_cols) + list(order_cols), "__gp")
+    starts = p.groupBy(*group_cols).agg(F.min("__gp").alias("__g0"))  # one row per group
+    return (p.join(starts, list(group_cols))
+            .withColumn(pos, F.col("__gp") - F.col("__g0")).drop("__gp", "__g0"))
+
+
 def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
                  seed: int = 42, scan_cap: int | None = 250_000,
                  id_col: str = "example_id") -> DataFrame:
@@ -79,28 +101,27 @@ def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
     from any source in the listed order, taking only rows pass 1 did not take.
     A source scans at most ``scan_cap`` rows in its shuffle order (valid or
     not).  Returns (id, source, class, pass, k), k = place in the class bucket.
+
+    Every rank is a group-relative global position (no window), so neither a
+    large source, a large class nor a large quota lands in one task.
     """
     spark = cands.sparkSession
     src = spark.createDataFrame([(s, i) for i, s in enumerate(sources)],
                                 "source string, source_idx int")
     c = cands.withColumn("skey", shuffle_key(seed, id_col))
     if scan_cap is not None:
-        ws = Window.partitionBy("source").orderBy("skey", id_col)
-        c = c.withColumn("__s", F.row_number().over(ws)).where(F.col("__s") <= scan_cap).drop("__s")
+        c = group_positions(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap)
     q = quotas.withColumn("fair", F.greatest(F.lit(1), F.ceil(F.col("quota") / len(sources))))
-    # the largest quota, read from the (class-count sized) parameter table:
-    # a literal bound lets Catalyst cut every (class, source) group early
-    top = int(q.agg(F.max("quota")).first()[0] or 0)
-    # inner join with the quota table drops classes without a bucket (FLT-4)
+    # inner join with the (one row per class) quota table drops classes
+    # without a bucket (FLT-4)
     c = (c.where(F.col("valid"))
          .join(F.broadcast(src), "source")
          .join(F.broadcast(q), "class"))
-    wr = Window.partitionBy("class", "source").orderBy("skey", id_col)
-    c = (c.withColumn("r", F.row_number().over(wr)).where(F.col("r") <= F.lit(top))
-         .where(F.col("r") <= F.col("quota")))
+    c = (group_positions(c, ["class", "source"], ["skey", id_col], "r0")
+         .withColumn("r", F.col("r0") + 1).where(F.col("r") <= F.col("quota")))
     c = c.withColumn("pass", F.when(F.col("r") <= F.col("fair"), 1).otherwise(2))
-    wk = Window.partitionBy("class").orderBy("pass", "source_idx", "r")
-    c = c.withColumn("k", F.row_number().over(wk)).where(F.col("k") <= F.col("quota"))
+    c = (group_positions(c, ["class"], ["pass", "source_idx", "r"], "k0")
+         .withColumn("k", F.col("k0") + 1).where(F.col("k") <= F.col("quota")))
     return c.select(id_col, "source", "class", F.col("pass").cast("int").alias("pass"),
                     F.col("k").cast("long").alias("k"))
 

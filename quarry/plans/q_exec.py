@@ -14,20 +14,24 @@ from quarry.session import cut_lineage
 from quarry.sources.tables import load
 
 
-def _tasks(spark, sf_dir, models=("base", "tuned")):
-    e = view(spark, sf_dir, "examples")
-    gold = e.select("example_id", F.lit("gold").alias("side"), F.col("sql_context").alias("context"),
-                    F.col("gold_sql").alias("sql"))
-    x = extracted(spark, sf_dir).where(F.col("model").isin(*models))
-    pred = (x.join(e.select("example_id", "sql_context"), "example_id")
-            .select("example_id", F.col("model").alias("side"), F.col("sql_context").alias("context"), "sql"))
-    return gold.unionByName(pred)
+def _wide(spark, sf_dir, models=("base", "tuned"), gold: bool = True):
+    """One row per example: its schema script and the queries of every side
+    (gold first, then each model whose completion exists)."""
+    e = view(spark, sf_dir, "examples").select("example_id", F.col("sql_context").alias("context"), "gold_sql")
+    x = extracted(spark, sf_dir)
+    for m in models:
+        e = e.join(x.where(F.col("model") == m).select("example_id", F.col("sql").alias(f"sql_{m}")),
+                   "example_id", "left")
+    parts = ([F.struct(F.lit("gold").alias("side"), F.col("gold_sql").alias("sql"))] if gold else []) + [
+        F.struct(F.lit(m).alias("side"), F.col(f"sql_{m}").alias("sql")) for m in models]
+    t = F.filter(F.array(*parts), lambda v: v["sql"].isNotNull())
+    return e.select("example_id", "context", t.getField("side").alias("sides"), t.getField("sql").alias("sqls"))
 
 
 @query("execute_examples", bench=True)
 def execute_examples(spark, sf_dir):
     """One row per result row of every gold and predicted query (EXE-1)."""
-    return X.execute(_tasks(spark, sf_dir))
+    return X.execute_wide(_wide(spark, sf_dir))
 
 
 @query("score_examples")
@@ -37,7 +41,7 @@ def score_examples(spark, sf_dir):
     The SQLite output feeds two branches (verdicts and row keys); a reliable
     checkpoint in the shared folder runs the Python job once and keeps the
     result if an executor is lost afterwards."""
-    ex = cut_lineage(X.execute(_tasks(spark, sf_dir)))
+    ex = cut_lineage(X.execute_wide(_wide(spark, sf_dir)))
     e = view(spark, sf_dir, "examples")
     ordered = e.select("example_id", T.is_ordered("gold_sql").alias("ordered"))
     return X.score(ex, ordered, ["base", "tuned"]).withColumnRenamed("side", "model")
@@ -46,10 +50,8 @@ def score_examples(spark, sf_dir):
 @query("verify_examples")
 def verify_examples(spark, sf_dir):
     """Examples whose gold SQL runs against their own schema (FLT-3)."""
-    e = view(spark, sf_dir, "examples")
-    t = e.select("example_id", F.lit("gold").alias("side"), F.col("sql_context").alias("context"),
-                 F.col("gold_sql").alias("sql"))
-    r = X.execute(t).groupBy("example_id").agg(F.bool_and("runs").alias("runs"))
+    r = (X.execute_wide(_wide(spark, sf_dir, models=())).groupBy("example_id")
+         .agg(F.bool_and("runs").alias("runs")))
     return r.where("runs").select("example_id")
 
 
@@ -57,7 +59,7 @@ def verify_examples(spark, sf_dir):
 def exec_error_classes(spark, sf_dir):
     """Verdicts of the tuned model's queries: ok, no SQL, schema error, query
     error, read-only refusal (TXT-7 after execution)."""
-    x = X.execute(_tasks(spark, sf_dir, ("tuned",))).where(F.col("side") == "tuned")
+    x = X.execute_wide(_wide(spark, sf_dir, ("tuned",), gold=False))
     per = x.groupBy("example_id").agg(F.first("error", ignorenulls=True).alias("error"))
     return per.groupBy(T.error_class("error").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 

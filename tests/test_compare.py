@@ -1,7 +1,6 @@
 """Result-set comparison properties."""
 import random
 
-from pyspark.sql import functions as F
 
 from quarry.operators import compare as C
 

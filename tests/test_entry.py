@@ -1,5 +1,4 @@
 """Driver contract: entry, queries and oracles; every oracle matches at sf0.001."""
-import math
 import os
 import sys
 

@@ -67,7 +67,9 @@ def extract_sql(raw) -> Column:
     keyword, else from the last keyword anywhere, else ''; cut at the first
     ``;`` and strip (TXT-1)."""
     raw = _c(raw)
-    body = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
+    # cheap substring test first: most completions have no fence at all
+    fenced = raw.contains("```") & raw.rlike(FENCE)
+    body = F.when(fenced, F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
     pos = F.regexp_instr(body, F.lit(LINE_START))
     picked = (F.when(pos > 0, body.substr(pos, F.length(body) + 1))
               .otherwise(F.regexp_extract(body, LAST_KEYWORD, 1)))

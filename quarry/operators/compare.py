@@ -95,16 +95,14 @@ def match_ordered(keys: DataFrame, example_ids: DataFrame) -> DataFrame:
 
 
 def match_results(keys: DataFrame, example_ids: DataFrame, ordered_col: str = "ordered") -> DataFrame:
-    """Per example: ordered comparison when the gold asked for an order, else bag.
-
-    ``example_ids`` carries the boolean ``ordered`` column.
-    """
-    ids = example_ids.select("example_id", ordered_col)
-    bag = match_bag(keys, ids.select("example_id")).withColumnRenamed("match", "bag")
-    seq = match_ordered(keys, ids.select("example_id")).withColumnRenamed("match", "seq")
-    return (ids.join(bag, "example_id").join(seq, "example_id")
-            .select("example_id", F.when(F.col(ordered_col), F.col("seq"))
-                    .otherwise(F.col("bag")).alias("match")))
+    """Per example: ordered comparison when the gold asked for an order, else
+    bag.  ``example_ids`` carries the boolean ``ordered`` column; each example's
+    rows go through exactly one of the two comparisons."""
+    ids = example_ids.select("example_id", F.coalesce(F.col(ordered_col), F.lit(False)).alias("__o"))
+    k = keys.join(ids, "example_id")
+    bag = match_bag(k.where(~F.col("__o")).drop("__o"), ids.where(~F.col("__o")).select("example_id"))
+    seq = match_ordered(k.where(F.col("__o")).drop("__o"), ids.where(F.col("__o")).select("example_id"))
+    return bag.unionByName(seq)
 
 
 def frames_equal_bag(a: DataFrame, b: DataFrame) -> DataFrame:

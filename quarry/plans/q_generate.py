@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quarry.operators import catalog as K
 from quarry.operators import generate as G
 from quarry.operators import sample as S
 from quarry.plans import q_sample
@@ -210,3 +211,64 @@ def combine_sets(spark, sf_dir):
     tot = c.agg(F.sum("n").alias("t"))  # one-row frame
     return c.crossJoin(tot).select("origin", "n", F.round(F.col("n").cast("double") / F.col("t"), 4)
                                    .alias("share"))
+
+
+# ------------------------------------------------------------------ GEN-6 twin
+
+_PK = _dkey("pl", "gen_id")
+_D_PLACE = f"""
+pf AS (SELECT s.*, {dhex(_PK, 1)} < 6 AS price_fact, {dhex(_PK, 2)} < 5 AS label_fact,
+              {dhex(_PK, 3)} < 8 AS distract,
+              NOT ({dhex(_PK, 2)} < 5) AND {dhex(_PK, 4)} < 6 AS two_hop
+       FROM s),
+pl AS (SELECT *, NOT price_fact AS price_item, NOT label_fact AND NOT two_hop AS label_dim FROM pf)"""
+
+
+def _d_table(t: str) -> str:
+    parts = []
+    for i, (cond, text) in enumerate(G.PLACED_COLUMNS[t]):
+        piece = _dtemplate(("" if i == 0 else ", ") + text)
+        parts.append(piece if cond is None else f"(CASE WHEN {cond} THEN {piece} ELSE '' END)")
+    return _dtemplate("CREATE TABLE " + G.TABLE_NAME[t] + " (") + " || " + " || ".join(parts) + " || ');'"
+
+
+@query("gen_placement", oracle=with_views(f"""
+WITH {_D_SEEDS},{_D_PLACE}
+SELECT gen_id, CASE WHEN price_fact THEN 'fact' ELSE 'item' END AS price_on,
+       CASE WHEN label_fact THEN 'fact' WHEN two_hop THEN 'area' ELSE 'dim' END AS label_on,
+       distract AS distractor,
+       concat_ws(chr(10), {_d_table('dim')}, {_d_table('item')}, {_d_table('fact')},
+                 CASE WHEN two_hop THEN {_d_table('area')} END) AS ddl,
+       CASE WHEN label_fact THEN {_dtemplate('f.{gcol}')} WHEN two_hop THEN {_dtemplate('a.{gcol}')}
+            ELSE {_dtemplate('d.{gcol}')} END AS group_expr,
+       CASE WHEN price_fact THEN {_dtemplate('SUM(f.{qty} * f.{price})')} ELSE {_dtemplate('SUM(f.{qty} * i.{price})')} END AS measure_expr,
+       {_dtemplate('FROM {fact} f JOIN {dim} d ON f.{dkey} = d.{dkey} JOIN {item} i ON f.{ikey} = i.{ikey}')}
+         || CASE WHEN two_hop THEN ' JOIN areas a ON d.area_id = a.area_id' ELSE '' END AS from_clause
+FROM pl"""))
+def gen_placement(spark, sf_dir):
+    """Placement-randomised schemas: where each column lives and the joins a
+    correct query needs (GEN-6)."""
+    return G.placement(_seeds(spark, sf_dir))
+
+
+def _d_catalog() -> str:
+    sel = []
+    for t, cols in G.PLACED_COLUMNS.items():
+        for i, (cond, text) in enumerate(cols):
+            name, typ = text.split(" ")[0], text.split(" ")[1]
+            conds = [c for c in ([("two_hop" if t == "area" else None), cond]) if c]
+            where = " AND ".join(conds) if conds else "TRUE"
+            sel.append(f"SELECT gen_id AS context_id, {_dtemplate(G.TABLE_NAME[t])} AS tbl, {_dtemplate(name)} AS col, "
+                       f"{i} AS ordinal, '{typ}' AS type, {1 if 'PRIMARY KEY' in text else 0} AS pk FROM pl WHERE {where}")
+    return "\nUNION ALL\n".join(sel)
+
+
+@query("gen_placement_shared", oracle=with_views(f"""
+WITH {_D_SEEDS},{_D_PLACE},
+cat AS ({_d_catalog()})
+SELECT context_id, col, string_agg(DISTINCT tbl, ', ' ORDER BY tbl) AS tables
+FROM cat GROUP BY context_id, col HAVING COUNT(DISTINCT tbl) > 1"""))
+def gen_placement_shared(spark, sf_dir):
+    """Column names a generated schema puts on several tables -- the
+    distractors and join keys a model must qualify (GEN-6 with AGG-18)."""
+    return K.shared_columns(G.placement_catalog(_seeds(spark, sf_dir)))

@@ -18,7 +18,7 @@ import os
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -113,13 +113,28 @@ def run_available_now(spark: SparkSession, stream_df: DataFrame, sink: str, ckpt
 def sse_results(lines: DataFrame) -> DataFrame:
     """(stream_id, line_no, line) -> one result per stream: the first data
     line under a ``complete`` or ``error`` event decides; the event name
-    carries over to later frames (STR-2)."""
+    carries over to later frames (STR-2).
+
+    The carried event is found without a window over a stream: among the
+    stream's event and data lines, a data line's position minus its position
+    among data lines is the number of event lines before it -- its segment;
+    the k-th event line (from 1) opens segment k.  An equi-join on (stream,
+    segment) attaches the event, and the first decisive line is a partial
+    aggregate.  Line numbers are unique within a stream."""
+    from quarry.operators.sample import group_positions
     ev = F.when(F.col("line").startswith("event:"), strip(F.substring("line", 7, 1 << 30)))
-    w = Window.partitionBy("stream_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = (lines.withColumn("event", F.last(ev, ignorenulls=True).over(w))
-         .where(F.col("line").startswith("data:") & F.col("event").isin("complete", "error"))
-         .withColumn("raw", strip(F.substring("line", 6, 1 << 30))))
-    first = x.groupBy("stream_id").agg(F.min_by(F.struct("event", "raw"), F.col("line_no")).alias("f"))
+    x = (lines.select("stream_id", "line_no", "line", ev.alias("ev"),
+                      F.col("line").startswith("data:").alias("is_data"))
+         .where(F.col("ev").isNotNull() | F.col("is_data")))
+    allp = group_positions(x, ["stream_id"], ["line_no"], "pa")
+    data = (group_positions(allp.where("is_data"), ["stream_id"], ["line_no"], "pd")
+            .select("stream_id", "line_no", "line", (F.col("pa") - F.col("pd")).alias("seg")))
+    events = (group_positions(allp.where(F.col("ev").isNotNull()), ["stream_id"], ["line_no"], "pe")
+              .select("stream_id", (F.col("pe") + 1).alias("seg"), F.col("ev").alias("event")))
+    decisive = (data.join(events, ["stream_id", "seg"])
+                .where(F.col("event").isin("complete", "error"))
+                .withColumn("raw", strip(F.substring("line", 6, 1 << 30))))
+    first = decisive.groupBy("stream_id").agg(F.min_by(F.struct("event", "raw"), F.col("line_no")).alias("f"))
     ids = lines.select("stream_id").distinct()
     j = ids.join(first, "stream_id", "left")
     e, raw = F.col("f.event"), F.col("f.raw")

@@ -14,3 +14,22 @@ def test_scoreboard_stream_totals(spark):
     s = q_stream.scoreboard_stream(spark, SF)
     from quarry.plans.views import view
     assert s.agg({"total": "sum"}).first()[0] == view(spark, SF, "e2e_results").count()
+
+
+def test_sse_carry_over(spark):
+    from quarry.streaming.logs import CLOSED_MSG, ERROR_MSG, sse_results
+    lines = [
+        # stream 1: heartbeat data, then complete; the event name carries to a later frame
+        (1, 1, "event: heartbeat"), (1, 2, 'data: {"p": 1}'), (1, 3, ""),
+        (1, 4, "event: complete"), (1, 5, ""), (1, 6, 'data: ["SELECT 1", "md", {"row_count": 3}]'),
+        # stream 2: error with a null payload
+        (2, 1, "event: error"), (2, 2, "data: null"),
+        # stream 3: data before any event, then nothing decisive
+        (3, 1, 'data: {"p": 2}'), (3, 2, "event: heartbeat"), (3, 3, "data: x"),
+        # stream 4: complete then a later error: the first decisive line wins
+        (4, 1, "event: complete"), (4, 2, 'data: ["Q", "", {}]'), (4, 3, "event: error"), (4, 4, "data: boom"),
+    ]
+    df = spark.createDataFrame(lines, "stream_id long, line_no long, line string")
+    got = {r.stream_id: (r.status, r.sql, r.row_count, r.error) for r in sse_results(df).collect()}
+    assert got == {1: ("complete", "SELECT 1", 3, None), 2: ("error", None, None, ERROR_MSG),
+                   3: ("closed", None, None, CLOSED_MSG), 4: ("complete", "Q", None, None)}

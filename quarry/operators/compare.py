@@ -63,12 +63,13 @@ def dense_positions(df: DataFrame, order_cols: Sequence[str], pos: str = "pos")
 
     Ties in the order are broken by the following columns (pass the row key
     last so that equal positions resolve the same way in every engine).
-    Group-relative global positions: an example with a huge result set is not
-    sorted in one task.  Executors that emit rows with their fetch index
+    ``rank_in_groups``: a window when every example is measured small, else
+    group-relative global positions, so a huge result set is not sorted in
+    one task.  Executors that emit rows with their fetch index
     already give dense positions; this is only for inputs that do not.
     """
-    from quarry.operators.sample import group_positions
-    return group_positions(df, ["example_id", "side"], list(order_cols), pos)
+    from quarry.operators.sample import rank_in_groups
+    return rank_in_groups(df, ["example_id", "side"], list(order_cols), pos)
 
 
 def match_bag(keys: DataFrame, example_ids: DataFrame) -> DataFrame:

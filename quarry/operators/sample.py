@@ -91,6 +91,29 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
             .withColumn(pos, F.col("__gp") - F.col("__g0")).drop("__gp", "__g0"))
 
 
+WINDOW_BOUND = 1_000_000
+
+
+def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
+                   pos: str = "pos", bound: int = WINDOW_BOUND) -> DataFrame:
+    """0-based position inside each group, planned on a measured size.
+
+    The largest group is counted first (one aggregate); when it holds at most
+    ``bound`` rows a plain window is used (one task per group, proven small),
+    otherwise ``group_positions`` spreads every group over range partitions.
+    """
+    g = list(group_cols)
+    sizes = df.groupBy(*g).count() if g else df.select(F.lit(1).alias("x")).groupBy("x").count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    if largest <= bound:
+        cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+        w = Window.partitionBy(*g).orderBy(*cols) if g else Window.orderBy(*cols)
+        return df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
+    if g:
+        return group_positions(df, g, order_cols, pos)
+    return positions(df, order_cols, pos)
+
+
 def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
                  seed: int = 42, scan_cap: int | None = 250_000,
                  id_col: str = "example_id") -> DataFrame:
@@ -102,25 +125,28 @@ def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
     A source scans at most ``scan_cap`` rows in its shuffle order (valid or
     not).  Returns (id, source, class, pass, k), k = place in the class bucket.
 
-    Every rank is a group-relative global position (no window), so neither a
-    large source, a large class nor a large quota lands in one task.
+    Every rank comes from ``rank_in_groups``: a window only where the largest
+    group is measured to be small, else group-relative global positions, so
+    neither a large source, a large class nor a large quota lands in one task.
     """
     spark = cands.sparkSession
     src = spark.createDataFrame([(s, i) for i, s in enumerate(sources)],
                                 "source string, source_idx int")
     c = cands.withColumn("skey", shuffle_key(seed, id_col))
     if scan_cap is not None:
-        c = group_positions(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap)
+        per_source = c.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        if per_source > scan_cap:  # the cap binds: rank each source's scan order
+            c = rank_in_groups(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap)
     q = quotas.withColumn("fair", F.greatest(F.lit(1), F.ceil(F.col("quota") / len(sources))))
     # inner join with the (one row per class) quota table drops classes
     # without a bucket (FLT-4)
     c = (c.where(F.col("valid"))
          .join(F.broadcast(src), "source")
          .join(F.broadcast(q), "class"))
-    c = (group_positions(c, ["class", "source"], ["skey", id_col], "r0")
+    c = (rank_in_groups(c, ["class", "source"], ["skey", id_col], "r0")
          .withColumn("r", F.col("r0") + 1).where(F.col("r") <= F.col("quota")))
     c = c.withColumn("pass", F.when(F.col("r") <= F.col("fair"), 1).otherwise(2))
-    c = (group_positions(c, ["class"], ["pass", "source_idx", "r"], "k0")
+    c = (rank_in_groups(c, ["class"], ["pass", "source_idx", "r"], "k0")
          .withColumn("k", F.col("k0") + 1).where(F.col("k") <= F.col("quota")))
     return c.select(id_col, "source", "class", F.col("pass").cast("int").alias("pass"),
                     F.col("k").cast("long").alias("k"))
@@ -139,7 +165,7 @@ def percentile_rank_pick(values: DataFrame, col: str, ps: Sequence[float]) -> Da
     max(1, floor(n*p))-th smallest value (AGG-10).  One row:
     n, p<pct> columns, max."""
     # ties share a value, so their relative order cannot change a pick
-    pos = positions(values.select(col), [col], "pos")
+    pos = rank_in_groups(values.select(col), [], [col], "pos")
     n = values.agg(F.count(F.lit(1)).alias("n"))
     picks = [F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(p)) - 1).cast("long").alias(f"i{j}")
              for j, p in enumerate(ps)]

@@ -77,8 +77,8 @@ SELECT example_id, ROW_NUMBER() OVER (ORDER BY md5('{SEED}|' || CAST(example_id
 FROM examples"""))
 def seeded_shuffle(spark, sf_dir):
     e = view(spark, sf_dir, "examples").select("example_id")
-    return S.positions(e.withColumn("k", S.shuffle_key(SEED, "example_id")),
-                       ["k", "example_id"]).select("example_id", "pos")
+    return S.rank_in_groups(e.withColumn("k", S.shuffle_key(SEED, "example_id")), [],
+                            ["k", "example_id"]).select("example_id", "pos")
 
 
 @query("headroom_quotas", oracle=with_views(f"WITH {_D_QUOTAS} SELECT class, quota FROM quotas"))
@@ -118,7 +118,7 @@ def _splits(spark, sf_dir):
     # the pool is read twice (split positions, id exclusion): materialise it
     # once in the shared checkpoint folder
     pool = cut_lineage(balanced(spark, sf_dir).select("example_id"))
-    pos = S.positions(pool.withColumn("k", S.shuffle_key(SEED, "example_id")), ["k", "example_id"])
+    pos = S.rank_in_groups(pool.withColumn("k", S.shuffle_key(SEED, "example_id")), [], ["k", "example_id"])
     tv = pos.select("example_id", F.when(F.col("pos") < VAL_SIZE, "valid").otherwise("train").alias("split"))
     # held-out test: the first source only, another seed, ids not in the pool
     c = candidates(spark, sf_dir)
@@ -126,7 +126,7 @@ def _splits(spark, sf_dir):
     test_c = (c.where((F.col("source") == "gretel") & F.col("valid"))
               .join(pool_ids, "ext_id", "left_anti")
               .select("example_id", S.shuffle_key(SEED + 1, "example_id").alias("k")))
-    test = (S.positions(test_c, ["k", "example_id"]).where(F.col("pos") < TEST_SIZE)
+    test = (S.rank_in_groups(test_c, [], ["k", "example_id"]).where(F.col("pos") < TEST_SIZE)
             .select("example_id", F.lit("test").alias("split")))
     return tv.unionByName(test)
 

@@ -360,9 +360,25 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
+def _base_tables(names) -> list[str]:
+    return [t for t in TABLES if any(re.search(rf"\b{t}\b", VIEWS[n][0]) for n in names)]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Spark DataFrame of a derived view (registers what it depends on)."""
-    register(spark, sf_dir, TABLES)
-    for n in _order([name]):
-        spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
+    """Spark DataFrame of a derived view.  Registers the base tables and
+    views it depends on, once per session and data folder."""
+    order = _order([name])
+    key = id(spark)
+    todo_tables = [t for t in _base_tables(order) if _REGISTERED.get((key, t)) != sf_dir]
+    if todo_tables:
+        register(spark, sf_dir, todo_tables)
+        for t in todo_tables:
+            _REGISTERED[(key, t)] = sf_dir
+    for n in order:
+        if _REGISTERED.get((key, n)) != sf_dir or todo_tables:
+            spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
+            _REGISTERED[(key, n)] = sf_dir
     return spark.table(name)

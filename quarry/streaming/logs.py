@@ -121,7 +121,7 @@ def sse_results(lines: DataFrame) -> DataFrame:
     the k-th event line (from 1) opens segment k.  An equi-join on (stream,
     segment) attaches the event, and the first decisive line is a partial
     aggregate.  Line numbers are unique within a stream."""
-    from quarry.operators.sample import group_positions
+    from quarry.operators.sample import rank_in_groups as group_positions
     ev = F.when(F.col("line").startswith("event:"), strip(F.substring("line", 7, 1 << 30)))
     x = (lines.select("stream_id", "line_no", "line", ev.alias("ev"),
                       F.col("line").startswith("data:").alias("is_data"))

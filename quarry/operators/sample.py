@@ -95,13 +95,14 @@ WINDOW_BOUND = 1_000_000
 
 
 def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                   pos: str = "pos", bound: int = WINDOW_BOUND) -> DataFrame:
+                   pos: str = "pos", bound: int | None = None) -> DataFrame:
     """0-based position inside each group, planned on a measured size.
 
     The largest group is counted first (one aggregate); when it holds at most
     ``bound`` rows a plain window is used (one task per group, proven small),
     otherwise ``group_positions`` spreads every group over range partitions.
     """
+    bound = WINDOW_BOUND if bound is None else bound
     g = list(group_cols)
     sizes = df.groupBy(*g).count() if g else df.select(F.lit(1).alias("x")).groupBy("x").count()
     largest = sizes.agg(F.max("count")).first()[0] or 0

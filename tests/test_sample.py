@@ -53,3 +53,14 @@ def test_splits_are_disjoint(spark):
     sp = q_sample._splits(spark, SF)
     assert sp.groupBy("example_id").count().where("count > 1").count() == 0
     assert sp.where("split = 'valid'").count() == min(q_sample.VAL_SIZE, sp.where("split <> 'test'").count())
+
+
+def test_large_group_path_equals_window_path(spark, monkeypatch):
+    df = spark.range(0, 3000).withColumn("g", F.col("id") % 3).withColumn("k", S.shuffle_key(7, "id"))
+    a = S.rank_in_groups(df, ["g"], ["k", "id"], "p", bound=10).select("id", "p")
+    b = S.rank_in_groups(df, ["g"], ["k", "id"], "p", bound=10 ** 9).select("id", "p")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    small = q_sample.balanced(spark, SF)
+    monkeypatch.setattr(S, "WINDOW_BOUND", 5)
+    big = q_sample.balanced(spark, SF)
+    assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0

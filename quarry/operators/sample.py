@@ -133,7 +133,10 @@ def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
     spark = cands.sparkSession
     src = spark.createDataFrame([(s, i) for i, s in enumerate(sources)],
                                 "source string, source_idx int")
-    c = cands.withColumn("skey", shuffle_key(seed, id_col))
+    # narrow and materialise the candidates once: the size measurements and
+    # the rankings below then read stored rows instead of recomputing them
+    c = cut_lineage(cands.select(id_col, "source", "class", "valid",
+                                 shuffle_key(seed, id_col).alias("skey")))
     if scan_cap is not None:
         per_source = c.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if per_source > scan_cap:  # the cap binds: rank each source's scan order

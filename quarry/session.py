@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,31 @@ def apply_job_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static or locked on this cluster: keep theirs
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (the functions of
+    ``mapInPandas`` / ``applyInPandasWithState`` live in it): zip the package
+    once per SparkContext and hand it to ``addPyFile``, which distributes it
+    with the job like ``--py-files``."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -34,6 +34,23 @@ r AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
+""",
+    "op6_substring_dedup": """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, p.pos, list_slice(ws, p.pos + 1, p.pos + 50) AS g
+  FROM w, LATERAL (SELECT unnest(range(len(ws) - 49)) AS pos) p WHERE len(ws) >= 50),
+own AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY g) < doc_id AS late FROM win),
+gone AS (
+  SELECT DISTINCT o.doc_id, o.pos + k.k AS pos FROM own o CROSS JOIN (SELECT unnest(range(50)) AS k) k WHERE late),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, string_agg(list_extract(ws, p.pos + 1), ' ' ORDER BY p.pos) AS t
+  FROM w, LATERAL (SELECT unnest(range(len(ws))) AS pos) p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.pos = p.pos) GROUP BY w.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
 """,
     "op10_line_dedup": f"""
 WITH lines AS (

@@ -6,14 +6,19 @@ import importlib
 
 # in the order of their numbers: (query, module)
 _QUERIES = [("op1_warc", "warc"), ("op3_url_filter", "urlfilter"),
-            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op9_pack", "packing"), ("op10_line_dedup", "lines")]
+            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op6_substring_dedup", "substring"), ("op8_ngram_jaccard_join", "jaccard"), ("op9_pack", "packing"), ("op10_line_dedup", "lines")]
 
 
 def queries() -> dict:
-    return {q: getattr(importlib.import_module(f"quarry.llm.{m}"), q) for q, m in _QUERIES}
+    import corpus_pipeline
+
+    return {q: getattr(importlib.import_module(f"quarry.llm.{m}"), q) for q, m in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from quarry.llm.oracles import SQL
 
-    return {q: s for q, s in SQL.items() if q in dict(_QUERIES)}
+    import corpus_pipeline
+
+    out = {q: s for q, s in SQL.items() if q in dict(_QUERIES)}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

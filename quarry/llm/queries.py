@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 # in the order of their numbers: (query, module)
-_QUERIES = [("op1_warc", "warc"), ("op3_url_filter", "urlfilter"),
-            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op6_substring_dedup", "substring"), ("op8_ngram_jaccard_join", "jaccard"), ("op9_pack", "packing"), ("op10_line_dedup", "lines")]
+_QUERIES = [("op1_warc", "warc"), ("op2_nn_descent", "ann"), ("op3_url_filter", "urlfilter"),
+            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op6_substring_dedup", "substring"), ("op7_suffix_array_dedup", "suffix"), ("op8_ngram_jaccard_join", "jaccard"), ("op9_pack", "packing"), ("op10_line_dedup", "lines")]
 
 
 def queries() -> dict:

@@ -19,10 +19,10 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import pick, prepare, running_start, stage
 
-NEIGHBOURS = 20  # kept per node
-ROUNDS = 4
+NEIGHBOURS = 40  # kept per node
+ROUNDS = 5
 LINES, BLOCK = 3, 48
-BEAM, HOPS = 40, 3
+BEAM, HOPS = 100, 5
 
 
 def _prepared(vectors: DataFrame, lines: int) -> DataFrame:

@@ -65,7 +65,7 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, texts in slices(b["doc_id"], b["text"], 32 << 20):
+            for ids, texts in slices(b["doc_id"], b["text"], 8 << 20):
                 yield sketch.partial(shingle_sets(ids, texts, gram)[1])
 
     bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(count, SCHEMA), (2, COMMON)))
@@ -174,6 +174,9 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
             lead = spread.select("t", F.col("l0" if round_ == 0 else "l1").alias("l"))
             pairs = at.join(lead, "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent))
             pairs = pairs.select("s", "id", "n", F.col("l.s").alias("s2"), F.col("l.id").alias("id2"), F.col("l.n").alias("n2"))
+            # one leader for each set and round, the smallest of its lists'
+            pairs = (pairs.where("s <> s2").groupBy("s", "id", "n").agg(F.min(F.struct("id2", "s2", "n2")).alias("m"))
+                     .select("s", "id", "n", "m.s2", "m.id2", "m.n2"))
         else:
             pairs = _open_pairs(at.join(spread.select("t"), "t"), percent)
         pairs = pairs.where("s <> s2").dropDuplicates(["s", "s2"])

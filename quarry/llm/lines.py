@@ -52,7 +52,7 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30)
         if 1 << level >= min_run:
             found.append(active.where("not first").select(
                 "doc_id", "pos", F.lit(level).alias("level"), F.lit(1 << level).cast("long").alias("n_lines")))
-        if level >= max_level or active.isEmpty():
+        if 1 << level >= min_run and (level >= max_level or active.isEmpty()):
             break
         gap = 1 << level
         ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(gap, gap)

@@ -333,6 +333,8 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records of the archives under ``path``.  Read anew for each set of
+    filters: Spark keeps what a reader was handed for the frame it belongs to."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 

@@ -15,8 +15,8 @@ def prepare(spark: SparkSession) -> None:
     """Ship this package to the workers, and hand them texts in batches of
     bounded size: documents can be very long."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

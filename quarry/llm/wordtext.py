@@ -8,7 +8,7 @@ import numpy as np
 
 from quarry.llm.common import span_hashes
 
-SLICE = 4 << 20  # bytes of text worked on at once; a longer text is a slice alone
+SLICE = 2 << 20  # bytes of text worked on at once; a longer text is a slice alone
 
 
 def slices(docs, texts, most: int = SLICE) -> Iterator[tuple[list, list[bytes]]]:

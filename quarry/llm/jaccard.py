@@ -6,9 +6,12 @@ surely in one document only: a set with too many of those has no partner, the
 others are indexed under a prefix of their rarest shingles, so that sets that
 link meet in some index list.
 
-Index level: a list is ordered by set size and cut into blocks of nearly equal
-size; blocks whose sizes cannot reach the threshold are skipped whole.  Answer
-level: a list's members are first compared with one leading set.  From the
+Index level: an entry knows its shingle's position in its set's order, and what
+follows bounds the overlap of two sets that first meet there.  A list is cut
+into blocks of nearly equal set size, and blocks that cannot reach the threshold
+are skipped whole; of two sets the smaller one must hold the shingle near its
+front, so a list's later entries only meet its front ones.  Answer level: a
+list's members are first compared with one leading set.  From the
 leader's answers follow bounds for every pair of members
 (``|x&l| + |y&l| - |l| <= |x&y| <= |x&l| + min(|x - l|, |y - l|)`` and the
 like); only pairs they leave open, between sets that are not connected yet, are
@@ -115,25 +118,43 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
+def _meets(n: Column, at: Column, m: Column, at2: Column, percent: int) -> Column:
+    """Sets of ``n`` and ``m`` shingles whose first common one lies at ``at``
+    and ``at2`` of their orders may still reach the threshold.  A pair that
+    links passes in the list of its first common shingle."""
+    return F.least(n - at, m - at2) * (100 + percent) >= (n + m) * percent
+
+
 def _linked(o: Column, n: Column, m: Column, percent: int) -> Column:
     return o * 100 >= (n + m - o) * percent
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc_id, component: the smallest id reachable over ``links`` (x, y)."""
+def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """doc_id, component: the smallest id reachable over ``links`` (x, y), and
+    over what ``label``, an earlier answer, has connected."""
+    if label is not None:
+        # only components are connected anew: a far smaller graph than the documents'
+        of = label.select(F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+        links = (links.join(of, "x", "left").join(of.toDF("y", "cy"), "y", "left")
+                 .select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y"))
     edges = stage(links.select(F.col("x").alias("v"), F.col("y").alias("w")).unionByName(
         links.select(F.col("y").alias("v"), F.col("x").alias("w"))).distinct(), "edges")
-    label = stage(edges.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("l")), "labels")
-    while True:
-        near = edges.join(label.select(F.col("v").alias("w"), F.col("l").alias("lw")), "w").groupBy("v").agg(F.min("lw").alias("lw"))
-        step = label.join(near, "v").select("v", F.least("l", "lw").alias("l"), F.col("l").alias("was"))
+    own = stage(edges.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("l")), "labels")
+    moved = not own.isEmpty()
+    while moved:
+        near = edges.join(own.select(F.col("v").alias("w"), F.col("l").alias("lw")), "w").groupBy("v").agg(F.min("lw").alias("lw"))
+        step = own.join(near, "v").select("v", F.least("l", "lw").alias("l"), F.col("l").alias("was"))
         # and on to where the label's own label points
-        up = label.select(F.col("v").alias("l"), F.col("l").alias("ll"))
+        up = own.select(F.col("v").alias("l"), F.col("l").alias("ll"))
         step = stage(step.join(up, "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l"), "was"), "labels")
-        moved = step.where("l <> was").limit(1).count()
-        label = step.select("v", "l")
-        if not moved:
-            return label.select(F.col("v").alias("doc_id"), F.col("l").alias("component"))
+        moved = not step.where("l <> was").isEmpty()
+        own = step.select("v", "l")
+    found = own.select(F.col("v").alias("doc_id"), F.col("l").alias("component"))
+    if label is None:
+        return found
+    old = (label.join(own.withColumnRenamed("v", "component"), "component", "left")
+           .select("doc_id", F.coalesce("l", "component").alias("component")))
+    return stage(old.unionByName(found.join(label.select("doc_id"), "doc_id", "left_anti")), "components")
 
 
 def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -157,7 +178,9 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     chosen = stage(may.join(classes.select(F.col("rep").alias("doc_id"), "a", "b", "n"), ["doc_id", "a", "b", "n"])
                    .dropDuplicates(["doc_id", "a", "b"]).select(F.struct("doc_id", "a", "b").alias("s"), F.col("doc_id").alias("id"), "n", "prefix", "members"), "chosen")
 
-    index = chosen.select(F.explode("prefix").alias("t"), "s", "id", "n")
+    # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
+    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "id", "n", F.expr("octet_length(members) div 8").alias("m"))
+    index = index.select("t", "s", "id", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     lists = stage(index.join(alone, "t"), "lists")
     links = owns.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
@@ -167,12 +190,13 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         at = lists if label is None else lists.join(label.select(F.col("doc_id").alias("id"), "component"), "id", "left")
         at = at.withColumn("component", F.coalesce("component", "id") if label is not None else F.col("id"))
         spread = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"),
-                                     F.min_by(F.struct("s", "id", "n", "component"), F.struct(F.lit(0), "id", "s")).alias("l0"),
-                                     F.max_by(F.struct("s", "id", "n", "component"), F.struct("component", "id", "s")).alias("l1")).where("lo <> hi")
+                                     F.min_by(F.struct("s", "id", "n", "at", "component"), F.struct(F.lit(0), "id", "s")).alias("l0"),
+                                     F.max_by(F.struct("s", "id", "n", "at", "component"), F.struct("component", "id", "s")).alias("l1")).where("lo <> hi")
         if round_ < LEADERS:
             # the first leader is the smallest id; later ones come from the other end, sets no leader has linked
             lead = spread.select("t", F.col("l0" if round_ == 0 else "l1").alias("l"))
-            pairs = at.join(lead, "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent))
+            pairs = at.join(lead, "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent)
+                                              & _meets(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"), percent))
             pairs = pairs.select("s", "id", "n", F.col("l.s").alias("s2"), F.col("l.id").alias("id2"), F.col("l.n").alias("n2"))
             # one leader for each set and round, the smallest of its lists'
             pairs = (pairs.where("s <> s2").groupBy("s", "id", "n").agg(F.min(F.struct("id2", "s2", "n2")).alias("m"))
@@ -192,8 +216,7 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         done = stage(pairs.join(x, "s").join(y, "s2").select("s", "id", "n", F.col("s2").alias("leader"), "id2", F.col("n2").alias("nl"), _overlap("mx", "my").alias("o")), f"answers{round_}")
         answers = done if answers is None else answers.unionByName(done)
         new = done.where(_linked(F.col("o"), F.col("n"), F.col("nl"), percent)).select(F.col("id").alias("x"), F.col("id2").alias("y")).where("x <> y")
-        links = stage(links.unionByName(new).distinct(), f"links{round_}")
-        label = components(links)
+        label = components(links.unionByName(new) if label is None else new, label)
     if label is None:
         label = components(links)
     return (sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(label, "doc_id", "left")
@@ -201,15 +224,17 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
 
 
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members in different components: members by size
-    block, and only blocks whose sizes fit meet (each with itself and the two
-    above: a factor of 4/3 lies within three blocks of width 10/9)."""
+    """Pairs of a list's members in different components.  The smaller set of a
+    pair (``n2``) must hold the shingle near its front; it meets the sets of its
+    own size block and of the next one (a block is as wide as sizes may differ)."""
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     m = lists.withColumn("block", block)
-    other = m.select("t", *[F.col(c).alias(f"{c}2") for c in ("s", "id", "n", "component")],
-                     F.explode(F.array(F.col("block"), F.col("block") - 1, F.col("block") + 1)).alias("block"))
-    p = m.join(other, ["t", "block"]).where((F.col("component") != F.col("component2")) & (F.col("s") < F.col("s2"))
-                                            & _fits(F.col("n"), F.col("n2"), percent))
+    front = m.where(_meets(F.col("n"), F.col("at"), F.col("n"), F.col("at"), percent))
+    other = front.select("t", *[F.col(c).alias(f"{c}2") for c in ("s", "id", "n", "at", "component")],
+                         F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+    p = m.join(other, ["t", "block"]).where((F.col("component") != F.col("component2")) & (F.struct("n2", "s2") < F.struct("n", "s"))
+                                            & _fits(F.col("n"), F.col("n2"), percent)
+                                            & _meets(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
     return p.select("s", "id", "n", "s2", "id2", "n2")
 
 

@@ -33,7 +33,7 @@ from quarry.llm.wordtext import WordArrays, slices
 
 GRAM, PERCENT = 5, 75
 COMMON = 32  # shingles in so many documents or more come last in the prefix order
-LEADERS = 3  # rounds in which the lists' members are compared with a leader only
+LEADERS = 1  # rounds in which the lists' members are compared with a leader only
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -176,18 +176,19 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     owns = may.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).select("doc_id", "rep").distinct()
     owns = stage(owns, "owns")
     chosen = stage(may.join(classes.select(F.col("rep").alias("doc_id"), "a", "b", "n"), ["doc_id", "a", "b", "n"])
-                   .dropDuplicates(["doc_id", "a", "b"]).select(F.struct("doc_id", "a", "b").alias("s"), F.col("doc_id").alias("id"), "n", "prefix", "members"), "chosen")
+                   .dropDuplicates(["doc_id", "a", "b"]).select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), "prefix", "members"), "chosen")
 
     # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
-    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "id", "n", F.expr("octet_length(members) div 8").alias("m"))
-    index = index.select("t", "s", "id", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at"))
+    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", F.expr("octet_length(members) div 8").cast("int").alias("m"))
+    index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    lists = stage(index.join(alone, "t"), "lists")
+    lists = stage(index.join(alone, "t").select("t", "s", "n", "at"), "lists")
     links = owns.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     answers = None  # what leaders are known to share: s, leader, o, nl
     label = None
     for round_ in range(LEADERS + 1):
-        at = lists if label is None else lists.join(label.select(F.col("doc_id").alias("id"), "component"), "id", "left")
+        at = lists.withColumn("id", F.col("s.id"))
+        at = at if label is None else at.join(label.select(F.col("doc_id").alias("id"), "component"), "id", "left")
         at = at.withColumn("component", F.coalesce("component", "id") if label is not None else F.col("id"))
         spread = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"),
                                      F.min_by(F.struct("s", "id", "n", "at", "component"), F.struct(F.lit(0), "id", "s")).alias("l0"),

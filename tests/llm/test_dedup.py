@@ -65,6 +65,19 @@ def test_jaccard_chain(spark):
     assert got == brute.jaccard(rows) and {c for _, c in got.values()} == {0}
 
 
+def test_jaccard_near_the_threshold(spark):
+    """Edited copies of a few texts, longer and shorter, on both sides of the threshold."""
+    r = random.Random(11)
+    rows = []
+    for k in range(90):
+        w = [f"b{k % 3}_{i}" for i in range(r.choice([60, 75, 80]))]
+        for at in r.sample(range(len(w)), r.randint(0, 4)):
+            w[at] = f"e{r.randint(0, 5)}"
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join_sets(frame(spark, rows)).collect()}
+    assert got == brute.jaccard(rows)
+
+
 def test_lines(spark):
     got = {r.doc_id: (r.kept_text, r.n_removed) for r in lines.dedup_lines(frame(spark, corpus())).collect()}
     assert got == brute.lines(corpus())

@@ -101,6 +101,32 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
     return docs.mapInPandas(emit, "doc_id long, n long, a long, b long, prefix array<long>, members binary")
 
 
+def _met_twice(chosen: DataFrame):
+    """A test of a shingle: whether the prefixes of two of the ``chosen`` sets
+    may hold it.  False for what is surely in one, so that it need not move."""
+    spark = chosen.sparkSession
+    sketch = Sketch(chosen.agg(F.sum(F.size("prefix"))).first()[0] or 0, depth=2)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            for p in b["prefix"]:
+                held.append(np.asarray(p, np.int64).view(np.uint64))
+                n += len(held[-1])
+                if n >= 1 << 20:
+                    yield sketch.partial(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield sketch.partial(np.concatenate(held))
+
+    bits = spark.sparkContext.broadcast(sketch.merge(chosen.select("prefix").mapInPandas(count, SCHEMA))[0])
+
+    def test(t: pd.Series) -> pd.Series:
+        return pd.Series(sketch.reaches(bits.value, t.to_numpy(np.int64).view(np.uint64)))
+
+    return F.pandas_udf(test, "boolean")
+
+
 @F.pandas_udf(LongType())
 def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
     def both(p: bytes, q: bytes) -> int:
@@ -169,18 +195,19 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     prepare(spark)
     d = pick(docs, doc_id="long", text="string")
-    sets = stage(_digests(d.where("doc_id is not null"), gram, percent), "sets")
+    sets = stage(_digests(d.where("doc_id is not null"), gram, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
     may = sets.where("prefix is not null")
-    classes = stage(may.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stage(may.groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("f")).select("a", "b", "n", "f.rep", "f.row"), "classes")
     # one doc_id may be given twice, with two texts: its sets are the classes of one document
-    owns = may.select("doc_id", "a", "b", "n").join(classes, ["a", "b", "n"]).select("doc_id", "rep").distinct()
+    owns = may.select("doc_id", "a", "b", "n").join(classes.drop("row"), ["a", "b", "n"]).select("doc_id", "rep").distinct()
     owns = stage(owns, "owns")
-    chosen = stage(may.join(classes.select(F.col("rep").alias("doc_id"), "a", "b", "n"), ["doc_id", "a", "b", "n"])
-                   .dropDuplicates(["doc_id", "a", "b"]).select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), "prefix", "members"), "chosen")
+    # one row of each class, picked by its number: sets are moved once at most
+    chosen = stage(may.join(classes.select("row"), "row", "left_semi")
+                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), "prefix", "members"), "chosen")
 
     # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
     index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", F.expr("octet_length(members) div 8").cast("int").alias("m"))
-    index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at"))
+    index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at")).where(_met_twice(chosen)("t"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     lists = stage(index.join(alone, "t").select("t", "s", "n", "at"), "lists")
     links = owns.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
@@ -213,7 +240,8 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         if pairs.isEmpty():
             break
         x = chosen.select("s", F.col("members").alias("mx"))
-        y = chosen.select(F.col("s").alias("s2"), F.col("members").alias("my"))
+        y = (chosen.select(F.col("s").alias("s2"), F.col("members").alias("my"))
+             .join(pairs.select("s2").distinct(), "s2", "left_semi"))  # only sets that are asked for move
         done = stage(pairs.join(x, "s").join(y, "s2").select("s", "id", "n", F.col("s2").alias("leader"), "id2", F.col("n2").alias("nl"), _overlap("mx", "my").alias("o")), f"answers{round_}")
         answers = done if answers is None else answers.unionByName(done)
         new = done.where(_linked(F.col("o"), F.col("n"), F.col("nl"), percent)).select(F.col("id").alias("x"), F.col("id2").alias("y")).where("x <> y")

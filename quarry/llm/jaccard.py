@@ -203,10 +203,10 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     owns = stage(owns, "owns")
     # one row of each class, picked by its number: sets are moved once at most
     chosen = stage(may.join(classes.select("row"), "row", "left_semi")
-                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), "prefix", "members"), "chosen")
+                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), F.expr("octet_length(members) div 8").cast("int").alias("m"), "prefix", "members"), "chosen")
 
     # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
-    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", F.expr("octet_length(members) div 8").cast("int").alias("m"))
+    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", "m")
     index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at")).where(_met_twice(chosen)("t"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     lists = stage(index.join(alone, "t").select("t", "s", "n", "at"), "lists")

@@ -122,7 +122,7 @@ _FP_COLS = ["example_id", "model", "raw"]
 
 
 @query("fingerprint_diff", oracle=with_views("""
-WITH h AS (SELECT source, CAST(('0x' || substr(sha256(concat_ws(chr(1), CAST(p.example_id AS VARCHAR), p.model, p.raw)), 1, 15)) AS BIGINT) AS v
+WITH h AS (SELECT source, CAST(('0x' || substr(sha256(coalesce(CAST(length(CAST(p.example_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(p.example_id AS VARCHAR), '-') || coalesce(CAST(length(p.model) AS VARCHAR) || ':' || p.model, '-') || coalesce(CAST(length(p.raw) AS VARCHAR) || ':' || p.raw, '-')), 1, 15)) AS BIGINT) AS v
            FROM predictions p JOIN examples e ON p.example_id = e.example_id WHERE p.model = 'base'),
 cur AS (SELECT COUNT(*) AS n, CAST(SUM(CAST(v AS DECIMAL(38,0))) AS VARCHAR) AS fp FROM h),
 old AS (SELECT COUNT(*) AS n, CAST(SUM(CAST(v AS DECIMAL(38,0))) AS VARCHAR) AS fp FROM h WHERE source = 'gretel')

@@ -83,9 +83,10 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def row_hash_int(cols) -> Column:
-    """A 60-bit integer from sha256 of the row's cells joined by U+0001
-    (NULL cells are skipped)."""
-    h = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]), 256)
+    """A 60-bit integer from sha256 of the row's cells, each with its length
+    before it; a NULL cell is a mark of its own."""
+    text = [F.col(c).cast("string") for c in cols]
+    h = F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(20,0)")
 
 

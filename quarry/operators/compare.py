@@ -2,7 +2,7 @@
 
 Input is a long table of result rows ``(example_id, side, pos, cells...)``
 with ``side`` in {gold, pred}.  Cells are turned into one canonical key per
-row (numbers to 4 decimals as DECIMAL text, strings stripped, NULL marked),
+row (typed: numbers to 4 decimals, strings stripped, NULL marked),
 so the comparison is plain relational algebra:
 
 * bag (multiset) equality: +1 for gold, -1 for pred, sum per
@@ -25,33 +25,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import norm_num, strip
+from quarry.functions.text import strip
 
-NULL_MARK = "␀"
-SEP = "\u0001"
+
+def _number_key(x: Column) -> Column:
+    """One text for equal numbers, whatever their type: whole ones (-0.0 is 0)
+    as integers, others as doubles; NaN and the infinities keep their names."""
+    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(2.0 ** 63))
+    return F.when(whole, F.when(whole, x).cast("long").cast("string")).otherwise(x.cast("string"))
 
 
 def cell_key(col: Column, dtype: T.DataType) -> Column:
+    """Kind and value of a cell: numbers (to 4 decimals; true is 1) never equal
+    texts (stripped), and NULL equals NULL only.  The length before the value
+    keeps neighbouring cells apart whatever they hold."""
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        v = norm_num(col)
-    elif isinstance(dtype, T.StringType):
-        v = strip(col)
-    elif isinstance(dtype, T.BinaryType):
-        v = strip(F.decode(col, "UTF-8"))
+        kind, v = "n", _number_key(F.round(col.cast("double"), 4))
     elif isinstance(dtype, T.BooleanType):
-        v = col.cast("int").cast("string")
+        kind, v = "n", col.cast("int").cast("string")
     elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        # 1 equals 1.0: integers take the same canonical form as numbers
-        v = col.cast("decimal(38,4)").cast("string")
+        kind, v = "n", col.cast("string")
+    elif isinstance(dtype, T.StringType):
+        kind, v = "t", strip(col)
+    elif isinstance(dtype, T.BinaryType):
+        kind, v = "b", F.hex(col)
     else:
-        v = col.cast("string")
-    return F.coalesce(v, F.lit(NULL_MARK))
+        kind, v = "t", col.cast("string")
+    return F.coalesce(F.concat(F.lit(kind), F.length(v).cast("string"), F.lit(":"), v), F.lit("z"))
 
 
 def row_key(df: DataFrame, cells: Sequence[str]) -> Column:
     """One canonical text key per result row."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.concat_ws(SEP, *[cell_key(F.col(c), types[c]) for c in cells])
+    return F.concat(*[cell_key(F.col(c), types[c]) for c in cells])
 
 
 def keyed(df: DataFrame, cells: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -63,9 +69,8 @@ def dense_positions(df: DataFrame, order_cols: Sequence[str], pos: str = "pos")
 
     Ties in the order are broken by the following columns (pass the row key
     last so that equal positions resolve the same way in every engine).
-    ``rank_in_groups``: a window when every example is measured small, else
-    group-relative global positions, so a huge result set is not sorted in
-    one task.  Executors that emit rows with their fetch index
+    ``rank_in_groups``: group-relative global positions, so a huge result set
+    is not sorted in one task.  Executors that emit rows with their fetch index
     already give dense positions; this is only for inputs that do not.
     """
     from quarry.operators.sample import rank_in_groups

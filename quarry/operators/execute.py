@@ -29,8 +29,6 @@ EXEC_SCHEMA = ("example_id long, side string, runs boolean, error string, "
                "pos long, row_key string")
 CATALOG_SCHEMA = "context_id long, tbl string, col string, ordinal int, type string, pk int"
 STEP_LIMIT = 20_000_000
-NULL_MARK = C.NULL_MARK
-SEP = C.SEP
 
 
 _DENY_IN_SIDE = {sqlite3.SQLITE_TRANSACTION, sqlite3.SQLITE_SAVEPOINT}
@@ -85,17 +83,19 @@ def _connect(step_limit: int) -> sqlite3.Connection:
 
 
 def cell_text(v) -> str:
-    """Canonical text of one cell: numbers to 4 decimals (1 equals 1.0),
-    strings stripped, bytes decoded, NULL marked."""
+    """One cell of a row key, in the kinds of ``compare.cell_key``."""
     if v is None:
-        return NULL_MARK
-    if isinstance(v, bool):
-        v = int(v)
-    if isinstance(v, (int, float)):
-        return f"{round(float(v), 4):.4f}" if isinstance(v, float) else f"{v}.0000"
+        return "z"
     if isinstance(v, (bytes, bytearray)):
-        return bytes(v).decode("utf-8", "replace").strip()
-    return str(v).strip()
+        kind, t = "b", bytes(v).hex().upper()
+    elif isinstance(v, float):
+        r = round(v, 4)
+        kind, t = "n", str(int(r)) if r.is_integer() and abs(r) < 2 ** 63 else repr(r)
+    elif isinstance(v, int):
+        kind, t = "n", str(int(v))
+    else:
+        kind, t = "t", str(v).strip()
+    return f"{kind}{len(t)}:{t}"
 
 
 def run_sides(context: str, sqls, step_limit: int = STEP_LIMIT):
@@ -138,7 +138,7 @@ def _exec_batches(step_limit: int):
                     if err is not None or not rows:
                         rows_iter = [(None, None)]
                     else:
-                        rows_iter = [(i, SEP.join(cell_text(c) for c in r)) for i, r in enumerate(rows)]
+                        rows_iter = [(i, "".join(cell_text(c) for c in r)) for i, r in enumerate(rows)]
                     for pos, key in rows_iter:
                         out["example_id"].append(int(eid))
                         out["side"].append(side)

@@ -1,6 +1,7 @@
 """Result-set comparison properties."""
 import random
 
+from pyspark.sql import functions as F
 
 from quarry.operators import compare as C
 
@@ -48,3 +49,24 @@ def test_int_equals_float(spark):
     assert C.frames_equal_bag(a, b).first().match is True
     c = spark.createDataFrame([(2.0,), (2.0,)], "v double")
     assert C.frames_equal_bag(a, c).first().match is False
+
+
+def test_cell_kinds(spark):
+    """Numbers equal numbers of any type, never texts; NULL, NaN and the
+    infinities equal themselves only; cells never run into each other."""
+    schema = "f double, i long, b boolean, t string, u string"
+    key = C.row_key(spark.createDataFrame([], schema), ["f", "i", "b", "t", "u"])
+
+    def keys(*rows):
+        return [r[0] for r in spark.createDataFrame(list(rows), schema).select(key).collect()]
+
+    one = spark.createDataFrame([(1.0, 1, True, "1.0000", "1")], schema).select(
+        *[C.cell_key(F.col(f.name), f.dataType) for f in spark.createDataFrame([], schema).schema.fields]).first()
+    assert one[0] == one[1] == one[2] and len({one[0], one[3], one[4]}) == 3
+    odd = keys(*[(x, None, None, None, None) for x in (None, float("nan"), float("inf"), float("-inf"), 1e35, 0.0, 0.12345)])
+    assert len(set(odd)) == len(odd)
+    same = keys(*[(x, None, None, None, None) for x in (-0.0, 0.0, -0.00001)])
+    assert len(set(same)) == 1
+    texts = keys((None, None, None, "a\u0001b", ""), (None, None, None, "a", "\u0001b"), (None, None, None, "\u2400", None),
+                 (None, None, None, None, "\u2400"), (None, None, None, "a", "t1:b"), (None, None, None, "at1:", "b"))
+    assert len(set(texts)) == len(texts)

@@ -86,61 +86,45 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     many range partitions instead of one window task.
     """
     p = positions(df, list(group_cols) + list(order_cols), "__gp")
-    starts = p.groupBy(*group_cols).agg(F.min("__gp").alias("__g0"))  # one row per group
-    return (p.join(starts, list(group_cols))
-            .withColumn(pos, F.col("__gp") - F.col("__g0")).drop("__gp", "__g0"))
-
-
-WINDOW_BOUND = 1_000_000
+    starts = p.groupBy(*[F.col(c).alias(f"__g_{c}") for c in group_cols]).agg(F.min("__gp").alias("__g0"))  # one row per group
+    same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group_cols]
+    return (p.join(starts, same).withColumn(pos, F.col("__gp") - F.col("__g0"))
+            .drop("__gp", "__g0", *[f"__g_{c}" for c in group_cols]))
 
 
 def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                   pos: str = "pos", bound: int | None = None) -> DataFrame:
-    """0-based position inside each group, planned on a measured size.
-
-    The largest group is counted first (one aggregate); when it holds at most
-    ``bound`` rows a plain window is used (one task per group, proven small),
-    otherwise ``group_positions`` spreads every group over range partitions.
-    """
-    bound = WINDOW_BOUND if bound is None else bound
-    g = list(group_cols)
-    sizes = df.groupBy(*g).count() if g else df.select(F.lit(1).alias("x")).groupBy("x").count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= bound:
-        cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-        w = Window.partitionBy(*g).orderBy(*cols) if g else Window.orderBy(*cols)
-        return df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
-    if g:
-        return group_positions(df, g, order_cols, pos)
+                   pos: str = "pos") -> DataFrame:
+    """0-based position inside each group (a null key is a group too), or in
+    the whole frame when there are no group columns.  One plan at every size:
+    range partitions share out a large group, and no task sorts it whole."""
+    if group_cols:
+        return group_positions(df, group_cols, order_cols, pos)
     return positions(df, order_cols, pos)
 
 
 def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
-                 seed: int = 42, scan_cap: int | None = 250_000,
+                 seed: int = 42, scan_cap: int | None = None,
                  id_col: str = "example_id") -> DataFrame:
     """Two-pass quota fill (SRT-5, SRT-6, FLT-4).
 
     ``cands``: (id, source, class, valid) in any order.  Pass 1 caps each
     source at ceil(quota / n_sources) of every class; pass 2 tops a class up
     from any source in the listed order, taking only rows pass 1 did not take.
-    A source scans at most ``scan_cap`` rows in its shuffle order (valid or
-    not).  Returns (id, source, class, pass, k), k = place in the class bucket.
+    With ``scan_cap`` a source scans at most so many rows in its shuffle order
+    (valid or not); without it, all.  Returns (id, source, class, pass, k), k = place in the class bucket.
 
-    Every rank comes from ``rank_in_groups``: a window only where the largest
-    group is measured to be small, else group-relative global positions, so
-    neither a large source, a large class nor a large quota lands in one task.
+    Every rank comes from ``rank_in_groups``, so neither a large source, a
+    large class nor a large quota lands in one task.
     """
     spark = cands.sparkSession
     src = spark.createDataFrame([(s, i) for i, s in enumerate(sources)],
                                 "source string, source_idx int")
-    # narrow and materialise the candidates once: the size measurements and
-    # the rankings below then read stored rows instead of recomputing them
+    # narrow and materialise the candidates once: the rankings below then read
+    # stored rows instead of recomputing them
     c = cut_lineage(cands.select(id_col, "source", "class", "valid",
                                  shuffle_key(seed, id_col).alias("skey")))
     if scan_cap is not None:
-        per_source = c.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        if per_source > scan_cap:  # the cap binds: rank each source's scan order
-            c = rank_in_groups(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap)
+        c = rank_in_groups(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap).drop("__s")
     q = quotas.withColumn("fair", F.greatest(F.lit(1), F.ceil(F.col("quota") / len(sources))))
     # inner join with the (one row per class) quota table drops classes
     # without a bucket (FLT-4)

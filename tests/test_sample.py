@@ -1,4 +1,6 @@
 """Global positions, quota sampling and splits: properties."""
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,12 +57,23 @@ def test_splits_are_disjoint(spark):
     assert sp.where("split = 'valid'").count() == min(q_sample.VAL_SIZE, sp.where("split <> 'test'").count())
 
 
-def test_large_group_path_equals_window_path(spark, monkeypatch):
-    df = spark.range(0, 3000).withColumn("g", F.col("id") % 3).withColumn("k", S.shuffle_key(7, "id"))
-    a = S.rank_in_groups(df, ["g"], ["k", "id"], "p", bound=10).select("id", "p")
-    b = S.rank_in_groups(df, ["g"], ["k", "id"], "p", bound=10 ** 9).select("id", "p")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    small = q_sample.balanced(spark, SF)
-    monkeypatch.setattr(S, "WINDOW_BOUND", 5)
-    big = q_sample.balanced(spark, SF)
-    assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
+def test_rank_in_groups_equals_window(spark):
+    df = spark.range(0, 3000).withColumn("g", F.expr("nullif(id % 3, 2)")).withColumn("k", S.shuffle_key(7, "id"))
+    a = S.rank_in_groups(df, ["g"], ["k", "id"], "p").select("id", "p")
+    b = df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")) - 1).select("id", F.col("p").cast("long"))
+    assert a.count() == 3000 and a.exceptAll(b).count() == 0
+    assert S.rank_in_groups(df.where("id < 0"), ["g"], ["k", "id"], "p").count() == 0
+
+
+def test_scan_cap(spark):
+    """The cap counts a source's rows in shuffle order, valid or not; without
+    it none is left out."""
+    c = spark.range(0, 400).select(F.col("id").alias("example_id"), F.expr("if(id < 300, 'a', 'b')").alias("source"),
+                                   F.lit("x").alias("class"), F.expr("id % 2 = 0").alias("valid"))
+    q = spark.createDataFrame([("x", 1000)], "class string, quota long")
+    assert S.quota_sample(c, q, ["a", "b"]).count() == 200
+    got = {r[0] for r in S.quota_sample(c, q, ["a", "b"], scan_cap=50).select("example_id").collect()}
+    want = set()
+    for ids in (range(300), range(300, 400)):
+        want |= {i for i in sorted(ids, key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())[:50] if i % 2 == 0}
+    assert got == want

@@ -83,6 +83,18 @@ def test_overlaps(spark):
     assert decontam.overlaps(docs.limit(0), bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_overlaps_partial_gapped_and_short(spark):
+    """Part of a long item, words added or dropped, and items too short for a mask."""
+    long, mid = [f"l{i}" for i in range(400)], [f"m{i}" for i in range(18)]
+    rows = [(1, ["a"] * 30 + long[100:250] + ["b"] * 30), (2, mid[:9] + ["x"] + mid[9:]), (3, mid[:6] + ["x"] + mid[6:12] + ["y"] + mid[12:]),
+            (4, ["z"] * 5 + mid[:8] + mid[9:]), (5, mid[:9] + ["far"] * 40 + mid[9:]), (6, ["c", "s0", "s1", "s2", "c"]), (7, ["s0", "x", "s1", "s2"]),
+            (8, long[40:47] + ["q"] * 300 + long[300:308]), (9, ["one"]), (10, mid[:7] + ["x"] + mid[7:10] + ["y"] * 9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(mid)), (3, "S0, s1 s2!"), (4, "One"), (5, "?!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_matched) for r in decontam.overlaps(docs, bench).collect()}
+    assert got == {(1, 1): (400, 150), (2, 2): (18, 18), (3, 2): (18, 18), (4, 2): (18, 17), (5, 2): (18, 18), (6, 3): (3, 3), (9, 4): (1, 1), (10, 2): (18, 10)}
+
+
 def test_overlaps_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"t{i}{k % (i + 9)}" for k in range(60))) for i in range(8)], "doc_id long, text string")
     bench = docs.selectExpr("doc_id as item_id", "text")

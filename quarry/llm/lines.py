@@ -7,18 +7,20 @@ for the first 2**(k+1) lines.  Suffixes with one name are an interval of the
 suffix array whose longest common prefix is at least that long; a suffix alone
 under its name leaves the game, so each level works on what still repeats.  A
 suffix with an earlier copy (by doc_id, then line) has all lines of that prefix
-deleted, once the prefix has ``min_run`` lines or more.
+deleted, once the prefix has ``min_run`` lines or more.  With ``long_words`` a
+single line of more words than that counts as a run too.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import pick, prepare, stage
 
 MIN_RUN = 2
+LONG_WORDS = 50  # of the pipeline stage: a line of more words counts as a run
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -27,12 +29,14 @@ def _split(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("all_pos", "line"))
 
 
-def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30,
+                  long_words: int | None = None) -> DataFrame:
     """Deleted stretches: doc_id, pos (number of the non-blank line in its
     document, from 0), level, n_lines = 2**level; the stretch also starts
     earlier, in a smaller doc_id or further up in the same document.
 
-    ``min_run``: a power of two.  Lines are equal when their UTF-8 bytes are;
+    ``min_run``: a power of two.  ``long_words``: a single line counts too if
+    it has more words (between white space); None: none does.  Lines are equal when their UTF-8 bytes are;
     blank lines (nothing but white space) are no part of the sequences.  Null
     and empty texts and repeated rows give no stretch of their own: a doc_id
     must be given once.  Identity of lines is a 96-bit hash with the length.
@@ -43,14 +47,14 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30)
     by_doc = Window.partitionBy("doc_id").orderBy("all_pos")
     # the identity is taken before rows move: texts are not shuffled
     ids = lines.select("doc_id", "all_pos", F.xxhash64("line").alias("a"),
-                       F.xxhash64(F.crc32(F.encode("line", "utf-8")), F.length("line")).alias("b"))
-    named = ids.select("doc_id", (F.row_number().over(by_doc) - 1).alias("pos"), "a", "b")
+                       F.xxhash64(F.crc32(F.encode("line", "utf-8")), F.length("line")).alias("b"), *_long(long_words))
+    named = ids.select("doc_id", (F.row_number().over(by_doc) - 1).alias("pos"), *ids.columns[2:])
     active = _shared(named)
     level, found = 0, []
     while True:
         active = stage(active, f"lines-level{level}")
-        if 1 << level >= min_run:
-            found.append(active.where("not first").select(
+        if 1 << level >= min_run or "long" in active.columns:
+            found.append(active.where("not first" if 1 << level >= min_run else "not first and long").select(
                 "doc_id", "pos", F.lit(level).alias("level"), F.lit(1 << level).cast("long").alias("n_lines")))
         if 1 << level >= min_run and (level >= max_level or active.isEmpty()):
             break
@@ -68,24 +72,32 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30)
     return out
 
 
+def _long(words: int | None) -> list[Column]:
+    """Whether ``line`` has more words; counted only where it has room for them."""
+    if words is None:
+        return []
+    count = F.regexp_count("line", F.lit(r"[^\x09-\x0D\x20]+"))
+    return [F.when(F.length("line") > 2 * words, count > words).otherwise(False).alias("long")]
+
+
 def _shared(named: DataFrame) -> DataFrame:
     """Rows whose name is not theirs alone, with ``first``: no earlier row has it."""
     groups = (named.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
               .where("n > 1").select("a", "b", "at"))
     return (named.join(groups, ["a", "b"])
-            .select("doc_id", "pos", "a", "b", (F.struct("doc_id", "pos") == F.col("at")).alias("first")))
+            .select("doc_id", "pos", "a", "b", *named.columns[4:], (F.struct("doc_id", "pos") == F.col("at")).alias("first")))
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """``docs`` with four more columns: n_lines (non-blank), n_removed,
     longest_run (the longest prefix, a power of two, that a deleted stretch
-    shares with an earlier one; 0 if none) and kept_text (lines left, blank
+    shares with an earlier one; 1 if only single long lines do, 0 if none) and kept_text (lines left, blank
     ones included, joined by a line feed).  Those names are replaced if ``docs``
     has them; other extra columns pass through.  Null and empty texts: no
     lines, kept_text empty; a document may end up empty.  A null doc_id loses
     nothing.  If a doc_id is repeated, its rows' lines are taken as interleaved.
     """
-    gone = (repeated_runs(docs, min_run).groupBy("doc_id").agg(
+    gone = (repeated_runs(docs, min_run, long_words=long_words).groupBy("doc_id").agg(
         F.collect_list("pos").alias("at"), F.collect_list("n_lines").alias("size"))
         .select(F.col("doc_id").alias("_doc"), F.struct("at", "size").alias("_runs")))
     prepare(docs.sparkSession)
@@ -124,9 +136,10 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without later copies of line runs; a document of
+    """Pipeline stage: texts without later copies of line runs, single lines of
+    more than ``LONG_WORDS`` words among them; a document of
     which nothing but white space is left goes, if lines were deleted."""
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x09-\x0D\x20]"))
+    cleaned = dedup_lines(docs, long_words=LONG_WORDS).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x09-\x0D\x20]"))
     same = F.col("n_removed") == 0
     return cleaned.select("doc_id", F.when(same, F.col("text")).otherwise(F.col("kept_text")).alias("text"), "lang", "source",
                           F.when(same, F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))

@@ -85,6 +85,16 @@ def test_lines(spark):
     assert row.n_lines == 400 and row.name == 1
 
 
+def test_lines_of_many_words(spark):
+    """The pipeline stage deletes a repeated line by its words; shorter single lines stay."""
+    text = lambda n: " ".join(f"v{i}" for i in range(n))
+    rows = [(1, text(51)), (2, text(51)), (3, text(50)), (4, text(50)), (5, "own\n" + text(51) + "\nend"), (6, "own"), (7, text(60) + "\n" + text(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.stage_line_dedup(spark, docs, "").collect()}
+    want = {1: text(51), 3: text(50), 4: text(50), 5: "own\nend", 6: "own", 7: text(60)}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 @pytest.mark.parametrize("run", [substring.remove_repeats, suffix.remove_repeats, jaccard.join_sets, lines.dedup_lines])
 def test_odd_rows(spark, run):
     """Empty tables give none; null ids and repeated rows stay and lose nothing to themselves."""

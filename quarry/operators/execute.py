@@ -182,8 +182,9 @@ def execute(tasks: DataFrame, step_limit: int = STEP_LIMIT) -> DataFrame:
 
 def score(executed: DataFrame, ordered: DataFrame, sides) -> DataFrame:
     """(example_id, side, runs, exec_ok) for every predicted side against the
-    gold side.  ``ordered``: (example_id, ordered) -- the gold asked for an
-    order.  Comparison is relational: bag or position-wise on row keys."""
+    gold side.  ``ordered``: one row (example_id, ordered) per example -- the
+    gold asked for an order.  A side without a query counts as not run.
+    Comparison is relational: bag or position-wise on row keys."""
     runs = executed.groupBy("example_id", "side").agg(F.bool_and("runs").alias("runs"))
     gold_runs = runs.where(F.col("side") == "gold").select("example_id", F.col("runs").alias("gold_runs"))
     keys = executed.where(F.col("pos").isNotNull()).select("example_id", "side", "pos", "row_key")
@@ -194,7 +195,9 @@ def score(executed: DataFrame, ordered: DataFrame, sides) -> DataFrame:
         ids = ordered.select("example_id", "ordered")
         m = C.match_results(k, ids).withColumn("side", F.lit(s))
         out = m if out is None else out.unionByName(m)
-    pr = runs.where(F.col("side") != "gold")
+    # every side of every example, also where there was no query to run
+    pr = (ordered.select("example_id", F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"))
+          .join(runs, ["example_id", "side"], "left").withColumn("runs", F.coalesce("runs", F.lit(False))))
     j = pr.join(gold_runs, "example_id", "left").join(out, ["example_id", "side"], "left")
     return j.select("example_id", "side", "runs",
                     (F.col("runs") & F.coalesce("gold_runs", F.lit(False))

@@ -36,7 +36,8 @@ def execute_examples(spark, sf_dir):
 
 @query("score_examples")
 def score_examples(spark, sf_dir):
-    """(example_id, model, runs, exec_ok): execution accuracy per example.
+    """(example_id, model, runs, exec_ok): execution accuracy per example; a
+    missing completion counts as not run (JN-1).
 
     The SQLite output feeds two branches (verdicts and row keys); a reliable
     checkpoint in the shared folder runs the Python job once and keeps the

@@ -43,6 +43,17 @@ def test_score_relational(spark):
     assert got == {1: (True, True), 2: (True, False), 3: (True, True), 4: (False, False)}
 
 
+def test_score_counts_missing_sides(spark):
+    """A side without a query, or an example without any, counts as not run."""
+    sql = "SELECT branch FROM rentals"
+    tasks = spark.createDataFrame([(1, "gold", RENTALS, sql), (1, "m", RENTALS, sql), (2, "gold", RENTALS, sql), (2, "n", RENTALS, sql)],
+                                  "example_id long, side string, context string, sql string")
+    ordered = spark.createDataFrame([(1, False), (2, False), (3, False)], "example_id long, ordered boolean")
+    got = {(r.example_id, r.side): (r.runs, r.exec_ok) for r in X.score(X.execute(tasks), ordered, ["m", "n"]).collect()}
+    yes, no = (True, True), (False, False)
+    assert got == {(1, "m"): yes, (1, "n"): no, (2, "m"): no, (2, "n"): yes, (3, "m"): no, (3, "n"): no}
+
+
 def test_catalog_scan(spark):
     ctx = spark.createDataFrame([(1, RENTALS), (2, "not sql")], "context_id long, context string")
     rows = X.catalog_scan(ctx).where(F.col("pk") == 1).collect()

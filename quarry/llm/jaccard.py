@@ -238,7 +238,7 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
             pairs = pairs.join(answers.select("s", F.col("leader").alias("s2")), ["s", "s2"], "left_anti")
         pairs = stage(pairs, f"pairs{round_}")
         if pairs.isEmpty():
-            break
+            continue  # a later round may still find some
         x = chosen.select("s", F.col("members").alias("mx"))
         y = (chosen.select(F.col("s").alias("s2"), F.col("members").alias("my"))
              .join(pairs.select("s2").distinct(), "s2", "left_semi"))  # only sets that are asked for move

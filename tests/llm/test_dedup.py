@@ -65,6 +65,14 @@ def test_jaccard_chain(spark):
     assert got == brute.jaccard(rows) and {c for _, c in got.values()} == {0}
 
 
+def test_jaccard_without_fitting_leaders(spark):
+    """Two sets meet only in lists whose leader is too large for either."""
+    w, z = [f"w{i}" for i in range(9)], [f"z{i}" for i in range(4)]
+    rows = [(1, " ".join(w[:8] + z)), (2, " ".join(w[:8])), (3, " ".join(w)), (4, " ".join(w[4:8] + z))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_sets(frame(spark, rows)).collect()}
+    assert got == brute.jaccard(rows) == {1: (8, 1), 2: (4, 2), 3: (5, 2), 4: (4, 4)}
+
+
 def test_jaccard_near_the_threshold(spark):
     """Edited copies of a few texts, longer and shorter, on both sides of the threshold."""
     r = random.Random(11)

@@ -87,5 +87,11 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM seq GROUP BY doc_id) n ON n.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, max(size) AS size FROM runs WHERE later GROUP BY doc_id) r ON r.doc_id = d.doc_id
 LEFT JOIN text_left t ON t.doc_id = d.doc_id
+""",
+    "op13_exact_dedup": """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
 """,
 }

@@ -6,7 +6,8 @@ import importlib
 
 # in the order of their numbers: (query, module)
 _QUERIES = [("op1_warc", "warc"), ("op2_nn_descent", "ann"), ("op3_url_filter", "urlfilter"),
-            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op6_substring_dedup", "substring"), ("op7_suffix_array_dedup", "suffix"), ("op8_ngram_jaccard_join", "jaccard"), ("op9_pack", "packing"), ("op10_line_dedup", "lines")]
+            ("op4_decontaminate", "decontam"), ("op5_toxicity", "toxicity"), ("op6_substring_dedup", "substring"), ("op7_suffix_array_dedup", "suffix"), ("op8_ngram_jaccard_join", "jaccard"), ("op9_pack", "packing"), ("op10_line_dedup", "lines"), ("op11_resample", "resample"), ("op12_whiten", "whiten"),
+            ("op13_exact_dedup", "exact")]
 
 
 def queries() -> dict:

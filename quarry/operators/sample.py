@@ -10,11 +10,9 @@ whole table (that is one task) and nothing passes through the driver.  The
 tagged, range-partitioned frame is checkpointed once, so both of its readers
 agree on partition ids.
 
-Quota sampling never materialises buckets: a per-(class, source) position
-in shuffle order decides the pass, a per-class position over (pass, source
-order, r) decides the take.  Positions inside a group come from the same
-range-partitioned global order (``group_positions``), so a hot class or
-source is spread over many tasks.
+Quota sampling never materialises buckets and ranks nothing globally: counts
+per (class, source) decide both passes, and the rows come from cut keys
+(``operators.counting``), so a hot class or source is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import counting as C
 from quarry.session import cut_lineage
 
 MIN_SHARE = 0.03
@@ -113,54 +112,45 @@ def quota_sample(cands: DataFrame, quotas: DataFrame, sources: Sequence[str],
     With ``scan_cap`` a source scans at most so many rows in its shuffle order
     (valid or not); without it, all.  Returns (id, source, class, pass, k), k = place in the class bucket.
 
-    Every rank comes from ``rank_in_groups``, so neither a large source, a
-    large class nor a large quota lands in one task.
+    Both passes are settled on counts per (class, source); a cut key per cell
+    then selects the rows, and ``k`` is counted too (``operators.counting``).
     """
-    spark = cands.sparkSession
-    src = spark.createDataFrame([(s, i) for i, s in enumerate(sources)],
-                                "source string, source_idx int")
-    # narrow and materialise the candidates once: the rankings below then read
-    # stored rows instead of recomputing them
-    c = cut_lineage(cands.select(id_col, "source", "class", "valid",
-                                 shuffle_key(seed, id_col).alias("skey")))
-    if scan_cap is not None:
-        c = rank_in_groups(c, ["source"], ["skey", id_col], "__s").where(F.col("__s") < scan_cap).drop("__s")
-    q = quotas.withColumn("fair", F.greatest(F.lit(1), F.ceil(F.col("quota") / len(sources))))
-    # inner join with the (one row per class) quota table drops classes
-    # without a bucket (FLT-4)
-    c = (c.where(F.col("valid"))
-         .join(F.broadcast(src), "source")
-         .join(F.broadcast(q), "class"))
-    c = (rank_in_groups(c, ["class", "source"], ["skey", id_col], "r0")
-         .withColumn("r", F.col("r0") + 1).where(F.col("r") <= F.col("quota")))
-    c = c.withColumn("pass", F.when(F.col("r") <= F.col("fair"), 1).otherwise(2))
-    c = (rank_in_groups(c, ["class"], ["pass", "source_idx", "r"], "k0")
-         .withColumn("k", F.col("k0") + 1).where(F.col("k") <= F.col("quota")))
-    return c.select(id_col, "source", "class", F.col("pass").cast("int").alias("pass"),
-                    F.col("k").cast("long").alias("k"))
-
-
-def quota_fill(sample: DataFrame, quotas: DataFrame) -> DataFrame:
-    """got / wanted per class and the exhausted flag (AGG-9)."""
-    got = sample.groupBy("class").agg(F.count(F.lit(1)).alias("got"))
+    chosen, takes = quota_rows(cands, quotas, sources, seed, scan_cap, id_col)
+    cells = takes.groupBy("class", "source", "fair").agg(
+        *[F.max(F.when(F.col("pass") == i, F.col("before"))).alias(f"before{i}") for i in (1, 2)])
+    r = C.ranks(chosen, ["class", "source"], "skey", id_col, "r")
+    x = r.join(F.broadcast(cells), ["class", "source"])  # one row per class and source
+    first = F.col("r") <= F.col("fair")
+    k = F.when(first, F.col("before1") + F.col("r")).otherwise(F.col("before2") + F.col("r") - F.col("fair"))
+    return x.select(id_col, "source", "class", F.when(first, 1).otherwise(2).cast("int").alias("pass"),
+                    k.cast("long").alias("k"))
+
+
+def scanned(cands: DataFrame, seed: int, scan_cap: int | None, id_col: str = "example_id") -> DataFrame:
+    """(id, source, class, valid, skey) of the rows that a harvest looks at,
+    stored once: the counts and the cuts below read it again."""
+    c = cut_lineage(cands.select(id_col, "source", "class", "valid", shuffle_key(seed, id_col).alias("skey")))
+    if scan_cap is None:
+        return c
+    caps = c.groupBy("source").agg(F.lit(scan_cap).alias("take"))
+    return C.first_rows(c, caps, ["source"], "skey", id_col)
+
+
+def quota_rows(cands: DataFrame, quotas: DataFrame, sources: Sequence[str], seed: int = 42,
+               scan_cap: int | None = None, id_col: str = "example_id") -> tuple[DataFrame, DataFrame]:
+    """The rows a quota fill takes, with their shuffle key, and the takes per
+    (class, source, pass)."""
+    c = scanned(cands, seed, scan_cap, id_col).where(F.col("valid"))
+    counts = c.groupBy("class", "source").agg(F.count(F.lit(1)).alias("n"))
+    takes = cut_lineage(C.quota_takes(counts, quotas, sources))  # two rows a class and source
+    cells = takes.groupBy("class", "source").agg(F.sum("take").alias("take"))
+    return C.first_rows(c, cells, ["class", "source"], "skey", id_col), takes
+
+
+def quota_fill(takes: DataFrame, quotas: DataFrame) -> DataFrame:
+    """got / wanted per class and the exhausted flag (AGG-9), from the takes of
+    ``counting.quota_takes``: no row is selected for it."""
+    got = takes.groupBy("class").agg(F.sum("take").alias("got"))
     return (quotas.join(got, "class", "left")
             .select("class", "quota", F.coalesce("got", F.lit(0)).cast("long").alias("got"))
             .withColumn("exhausted", F.col("got") < F.col("quota")))
-
-
-def percentile_rank_pick(values: DataFrame, col: str, ps: Sequence[float]) -> DataFrame:
-    """Length statistics with the reference's percentile rule: the
-    max(1, floor(n*p))-th smallest value (AGG-10).  One row:
-    n, p<pct> columns, max."""
-    # ties share a value, so their relative order cannot change a pick
-    pos = rank_in_groups(values.select(col), [], [col], "pos")
-    n = values.agg(F.count(F.lit(1)).alias("n"))
-    picks = [F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(p)) - 1).cast("long").alias(f"i{j}")
-             for j, p in enumerate(ps)]
-    idx = n.select("n", *picks, (F.col("n") - 1).alias("imax"))
-    j = pos.crossJoin(F.broadcast(idx))  # idx is a one-row frame
-    aggs = [F.max(F.when(F.col("pos") == F.col(f"i{k}"), F.col(col))).alias(f"p{int(round(p * 100))}")
-            for k, p in enumerate(ps)]
-    aggs.append(F.max(F.when(F.col("pos") == F.col("imax"), F.col(col))).alias("max"))
-    return j.where(F.col("pos").isin(*[F.col(f"i{k}") for k in range(len(ps))], F.col("imax"))) \
-        .groupBy("n").agg(*aggs)

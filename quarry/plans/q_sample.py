@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import chat
 from quarry.functions import text as T
+from quarry.operators import counting as C
 from quarry.operators import sample as S
 from quarry.plans.q_text import DUCK_CLASS, DUCK_NORM
 from quarry.plans.registry import query
@@ -20,6 +21,7 @@ VAL_SIZE = 200
 TEST_SIZE = 300
 HEAD_N = 1000
 MAX_SEQ = 160
+SCAN_CAP = 1000           # rows a capped harvest looks at in each source
 TOLERATE = 0.05
 
 
@@ -59,10 +61,11 @@ quotas AS (SELECT class, CAST(greatest(1, round_even(w * (total / SUM(w) OVER ()
 _D_SRC = "src AS (SELECT * FROM (VALUES ('gretel', 0), ('createcontext', 1), ('multilevel', 2)) AS t(source, idx))"
 
 
-def _d_quota_sample(cand: str, quotas: str) -> str:
+def _d_quota_sample(cand: str, quotas: str, cap: int | None = None) -> str:
+    scanned = "" if cap is None else f"sn.s <= {cap} AND "
     return f"""sn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY skey, example_id) AS s FROM {cand}),
 v AS (SELECT sn.*, q.quota, greatest(1, ceil(q.quota / 3)) AS fair, src.idx
-      FROM sn JOIN {quotas} q USING (class) JOIN src USING (source) WHERE sn.s <= 250000 AND sn.valid),
+      FROM sn JOIN {quotas} q USING (class) JOIN src USING (source) WHERE {scanned}sn.valid),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY class, source ORDER BY skey, example_id) AS r FROM v),
 p AS (SELECT *, CASE WHEN r <= fair THEN 1 ELSE 2 END AS pass FROM r WHERE r <= quota),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY class ORDER BY pass, idx, r) AS k FROM p),
@@ -91,13 +94,23 @@ def quota_sample(spark, sf_dir):
     return balanced(spark, sf_dir)
 
 
+@query("quota_sample_capped", oracle=with_views(
+    f"WITH {_D_CAND},\n{_D_QUOTAS},\n{_D_SRC},\n{_d_quota_sample('cand', 'quotas', SCAN_CAP)} SELECT * FROM pool"))
+def quota_sample_capped(spark, sf_dir):
+    """The quota fill of a harvest that looks at ``SCAN_CAP`` rows of each source (SRT-6)."""
+    return S.quota_sample(candidates(spark, sf_dir), quotas(spark, sf_dir), SOURCES, SEED, scan_cap=SCAN_CAP)
+
+
 @query("quota_fill", oracle=with_views(f"""
 WITH {_D_POOL},
 got AS (SELECT class, COUNT(*) AS got FROM pool GROUP BY class)
 SELECT q.class, q.quota, coalesce(got.got, 0) AS got, coalesce(got.got, 0) < q.quota AS exhausted
 FROM quotas q LEFT JOIN got USING (class)"""))
 def quota_fill(spark, sf_dir):
-    return S.quota_fill(balanced(spark, sf_dir), quotas(spark, sf_dir))
+    valid = candidates(spark, sf_dir).where("valid")
+    counts = valid.groupBy("class", "source").agg(F.count(F.lit(1)).alias("n"))
+    q = quotas(spark, sf_dir)
+    return S.quota_fill(C.quota_takes(counts, q, SOURCES), q)
 
 
 @query("natural_sample", oracle=with_views(f"""
@@ -114,21 +127,37 @@ def natural_sample(spark, sf_dir):
     return S.quota_sample(c, q, SOURCES, SEED)
 
 
+def _pool(spark, sf_dir):
+    """Candidates and pool, each stored once in the shared checkpoint folder:
+    the splits and the id exclusion read them again."""
+    keep = candidates(spark, sf_dir).drop("question", "gold_sql")
+    c = cut_lineage(keep)
+    pool, _ = S.quota_rows(c, quotas(spark, sf_dir), SOURCES, SEED)
+    return c, cut_lineage(pool.select("example_id", "skey").join(c.select("example_id", "ext_id"), "example_id"))
+
+
+def _one(spark, n):
+    return spark.range(1).select(F.lit(n).alias("take"))
+
+
+def _train_valid(spark, pool):
+    """The first rows of the pool in shuffle order validate, the others train."""
+    first = C.first_rows(pool, _one(spark, VAL_SIZE), [], "skey", "example_id").select("example_id", F.lit("valid").alias("split"))
+    return (pool.select("example_id").join(F.broadcast(first), "example_id", "left")  # VAL_SIZE rows
+            .select("example_id", F.coalesce("split", F.lit("train")).alias("split")))
+
+
+def _held_out(spark, c, pool):
+    """Test rows: the first source only, another seed, ids not in the pool."""
+    test = (c.where((F.col("source") == "gretel") & F.col("valid"))
+            .join(pool.select("ext_id"), "ext_id", "left_anti")
+            .select("example_id", S.shuffle_key(SEED + 1, "example_id").alias("skey")))
+    return C.first_rows(test, _one(spark, TEST_SIZE), [], "skey", "example_id").select("example_id", F.lit("test").alias("split"))
+
+
 def _splits(spark, sf_dir):
-    # the pool is read twice (split positions, id exclusion): materialise it
-    # once in the shared checkpoint folder
-    pool = cut_lineage(balanced(spark, sf_dir).select("example_id"))
-    pos = S.rank_in_groups(pool.withColumn("k", S.shuffle_key(SEED, "example_id")), [], ["k", "example_id"])
-    tv = pos.select("example_id", F.when(F.col("pos") < VAL_SIZE, "valid").otherwise("train").alias("split"))
-    # held-out test: the first source only, another seed, ids not in the pool
-    c = candidates(spark, sf_dir)
-    pool_ids = c.join(pool, "example_id", "left_semi").select("ext_id")
-    test_c = (c.where((F.col("source") == "gretel") & F.col("valid"))
-              .join(pool_ids, "ext_id", "left_anti")
-              .select("example_id", S.shuffle_key(SEED + 1, "example_id").alias("k")))
-    test = (S.rank_in_groups(test_c, [], ["k", "example_id"]).where(F.col("pos") < TEST_SIZE)
-            .select("example_id", F.lit("test").alias("split")))
-    return tv.unionByName(test)
+    c, pool = _pool(spark, sf_dir)
+    return _train_valid(spark, pool).unionByName(_held_out(spark, c, pool))
 
 
 _D_SPLITS = f"""{_D_POOL},
@@ -145,7 +174,7 @@ splits AS (SELECT * FROM tv UNION ALL SELECT * FROM te)"""
 
 @query("split_train_valid", oracle=with_views(f"WITH {_D_SPLITS} SELECT * FROM tv"))
 def split_train_valid(spark, sf_dir):
-    return _splits(spark, sf_dir).where(F.col("split") != "test")
+    return _train_valid(spark, _pool(spark, sf_dir)[1])
 
 
 @query("split_three_way", oracle=with_views(f"WITH {_D_SPLITS} SELECT * FROM splits"))
@@ -160,9 +189,8 @@ SELECT example_id FROM cand c WHERE source = 'gretel'
   AND NOT EXISTS (SELECT 1 FROM pool_ext p WHERE p.ext_id = c.ext_id)"""))
 def holdout_antijoin(spark, sf_dir):
     """Test rows whose id is in the pool are skipped; NULL ids never match (JN-2)."""
-    c = candidates(spark, sf_dir)
-    pool_ids = c.join(balanced(spark, sf_dir).select("example_id"), "example_id", "left_semi").select("ext_id")
-    return c.where(F.col("source") == "gretel").join(pool_ids, "ext_id", "left_anti").select("example_id")
+    c, pool = _pool(spark, sf_dir)
+    return c.where(F.col("source") == "gretel").join(pool.select("ext_id"), "ext_id", "left_anti").select("example_id")
 
 
 @query("leak_audit", oracle=with_views(f"""
@@ -230,7 +258,7 @@ SELECT n, MAX(CASE WHEN pos = greatest(0, floor(n * 0.5) - 1) THEN len END) AS p
           MAX(len) AS max
 FROM o GROUP BY n"""))
 def length_stats(spark, sf_dir):
-    return S.percentile_rank_pick(_lengths(spark, sf_dir), "len", [0.5, 0.9, 0.99])
+    return C.value_picks(_lengths(spark, sf_dir), "len", [0.5, 0.9, 0.99])
 
 
 @query("length_drop", oracle=with_views(f"WITH {_D_LEN} SELECT example_id, len FROM lens WHERE len <= {MAX_SEQ}"))

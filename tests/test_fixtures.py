@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import counting as C
 from quarry.operators import multilevel as ml
 from quarry.operators import report as R
 from quarry.operators import sample as S
@@ -93,5 +94,5 @@ def test_standard_error(spark):
 
 def test_percentile_rule(spark):
     v = spark.createDataFrame([(x,) for x in [5, 3, 1, 4, 2]], "len long")
-    r = S.percentile_rank_pick(v, "len", [0.5]).first()
+    r = C.value_picks(v, "len", [0.5]).first()
     assert r.p50 == 2 and r["max"] == 5 and r.n == 5

@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.functions import chat
 from quarry.operators import catalog as K
 from quarry.operators import generate as G
+from quarry.operators import records as R
 from quarry.operators import sample as S
 from quarry.plans import q_sample
 from quarry.plans.registry import query
@@ -272,3 +275,124 @@ def gen_placement_shared(spark, sf_dir):
     """Column names a generated schema puts on several tables -- the
     distractors and join keys a model must qualify (GEN-6 with AGG-18)."""
     return K.shared_columns(G.placement_catalog(_seeds(spark, sf_dir)))
+
+
+# ------------------------------------------------- whole records (GEN-2..5) twin
+# the oracle makes every attempt of every example and keeps the first that passes
+
+FIRST_N, FIRST_SEED = 400, 7
+
+_A_SEEDS = _D_SEEDS.replace("gen_id", "gk").replace("s0 AS (SELECT c_custkey AS gk FROM customer)", f"""
+s00 AS (SELECT c_custkey AS gen_id, CAST(a AS INTEGER) AS attempt,
+               CASE WHEN a = 0 THEN CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) || '.' || CAST(a AS VARCHAR) END AS gk
+        FROM customer, (SELECT unnest(range({R.ATTEMPTS})) AS a) t),
+s0 AS (SELECT gk FROM s00)""")
+_A_GEN = ",".join([_A_SEEDS] + [x.replace("gen_id", "gk") for x in (_D_FACTS, _D_GOLD, _D_CHECKS)])
+_D_FIRST = f"""{_A_GEN},
+fv AS (SELECT s00.gen_id, MIN(s00.attempt) AS attempt FROM s00 JOIN verified USING (gk) WHERE ok GROUP BY s00.gen_id),
+won AS (SELECT fv.gen_id, fv.attempt, s.* FROM fv JOIN s00 USING (gen_id, attempt) JOIN s USING (gk))"""
+
+
+def _d_either(star: str, flat: str) -> str:
+    return f"CASE WHEN three THEN {_dtemplate(star)} ELSE {_dtemplate(flat)} END"
+
+
+_D_NAMES = ", ".join(f"{_dpick(pool, f'{dhex(_dkey("h", "gk"), k)} % {len(pool)}')} AS {name}" for k, (name, pool) in enumerate(R.NAMES.items(), 1))
+_D_FORMS = " ".join(f"WHEN kind = '{k}' AND form % {len(forms)} = {i} THEN {_dtemplate(t)}"
+                    for k, forms in R.FORMS.items() for i, t in enumerate(forms))
+_D_RECORDS = f"""{_D_FIRST},
+parts AS (SELECT *, {', '.join(f'{_d_either(*p)} AS {name}' for name, p in R.PARTS.items())}, {_D_NAMES},
+                 {dhex(_dkey('h', 'gk'), len(R.NAMES) + 1)} AS form FROM won),
+numbered AS (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY gk ORDER BY i, j, c) AS id FROM facts f SEMI JOIN won USING (gk)),
+fr AS (SELECT n.gk, string_agg('(' || n.id || ', ' || CASE WHEN w.three THEN n.i || ', ' || n.j || ', ' || n.qty
+                   ELSE '''' || n.grp || ''', ''' || n.sub || ''', ' || n.qty || ', ' || n.price END
+                 || ', ''' || CASE WHEN n.good THEN w.good ELSE w.bad END || ''')', ', ' ORDER BY n.id) AS fact_rows
+       FROM numbered n JOIN won w USING (gk) GROUP BY n.gk),
+gr AS (SELECT gk, string_agg('(' || i || ', ''unit ' || i || ''', ''' || {_dpick(G.GROUP_NAMES, f'(goff + i - 1) % {len(G.GROUP_NAMES)}')} || ''')', ', ' ORDER BY i) AS dim_rows
+       FROM (SELECT gk, goff, unnest(range(1, ng + 1)) AS i FROM won) GROUP BY gk),
+ir AS (SELECT gk, string_agg('(' || j || ', ''thing ' || j || ''', ''' || {_dpick(G.SUB_NAMES, f'(soff + j - 1) % {len(G.SUB_NAMES)}')} || ''', '
+                 || {_dpick(G.PRICES, f"{dhex(_dkey('p', 'gk', 'j'), 1)} % {len(G.PRICES)}")} || ')', ', ' ORDER BY j) AS item_rows
+       FROM (SELECT gk, soff, unnest(range(1, ns + 1)) AS j FROM won) GROUP BY gk),
+recs AS (
+SELECT gen_id, attempt + 1 AS attempts, kind, fact AS domain, '{R.COMPLEXITY}' AS complexity, '{R.SOURCE}' AS source,
+       CASE WHEN three THEN concat_ws(chr(10),
+         {_dtemplate('CREATE TABLE {dim} ({dkey} INTEGER PRIMARY KEY, title TEXT, {gcol} TEXT);')},
+         {_dtemplate('CREATE TABLE {item} ({ikey} INTEGER PRIMARY KEY, title TEXT, {scol} TEXT, {price} REAL);')},
+         {_dtemplate('CREATE TABLE {fact} (id INTEGER PRIMARY KEY, {dkey} INTEGER, {ikey} INTEGER, {qty} INTEGER, {status} TEXT);')},
+         {_dtemplate('INSERT INTO {dim} VALUES {dim_rows};')}, {_dtemplate('INSERT INTO {item} VALUES {item_rows};')},
+         {_dtemplate('INSERT INTO {fact} VALUES {fact_rows};')})
+       ELSE concat_ws(chr(10),
+         {_dtemplate('CREATE TABLE {fact} (id INTEGER PRIMARY KEY, {gcol} TEXT, {scol} TEXT, {qty} INTEGER, {price} REAL, {status} TEXT);')},
+         {_dtemplate('INSERT INTO {fact} VALUES {fact_rows};')}) END AS sql_context,
+       CASE {_Q_CASES} END AS sql_prompt, {_dtemplate(R.CTE)} || CASE {_D_FORMS} END AS gold_sql
+FROM parts JOIN fr USING (gk) LEFT JOIN gr USING (gk) LEFT JOIN ir USING (gk))"""
+
+
+def _records(spark, sf_dir):
+    return R.records(load(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("gen_records", oracle=with_views(f"""
+WITH {_D_RECORDS}
+SELECT *, 3 AS n_messages, {_lit(chat.SYSTEM_PROMPT)} AS system_turn,
+       {_lit(chat.SCHEMA_HEAD)} || sql_context || {_lit(chat.QUESTION_HEAD)} || sql_prompt AS user_turn, gold_sql AS assistant_turn
+FROM recs"""))
+def gen_records(spark, sf_dir):
+    """Whole records by rejection sampling: script, question, gold query and
+    the three chat messages (GEN-2, GEN-4, GEN-5)."""
+    r = _records(spark, sf_dir)
+    turn = lambda i: F.element_at("messages", i)["content"]
+    return r.select(*[c for c in r.columns if c not in ("messages", "answer")], F.size("messages").alias("n_messages"),
+                    turn(1).alias("system_turn"), turn(2).alias("user_turn"), turn(3).alias("assistant_turn"))
+
+
+@query("gen_answers", oracle=with_views(f"""
+WITH {_D_FIRST},
+ids AS (SELECT gk, grp, sub, COUNT(*) AS m FROM facts WHERE good GROUP BY gk, grp, sub)
+SELECT w.gen_id, g.grp, g.sub, g.total, CASE WHEN w.kind = 'topn' THEN CASE WHEN w.three THEN 1 ELSE ids.m END END AS n_ids, g.pct, g.rnk
+FROM won w JOIN gold g USING (gk) JOIN ids USING (gk, grp, sub)"""))
+def gen_answers(spark, sf_dir):
+    """Rows of every record's gold query, with its distinct count (GEN-3)."""
+    return _records(spark, sf_dir).select("gen_id", F.explode("answer").alias("a")).select("gen_id", "a.*")
+
+
+_D_FIRST_N = f"""fn AS (
+SELECT gen_id, ROW_NUMBER() OVER (ORDER BY md5('{FIRST_SEED}|' || CAST(gen_id AS VARCHAR)), gen_id) AS position, attempts, kind FROM recs
+QUALIFY position <= {FIRST_N})"""
+
+
+@query("gen_first_n", oracle=with_views(f"WITH {_D_RECORDS}, {_D_FIRST_N} SELECT * FROM fn"))
+def gen_first_n(spark, sf_dir):
+    """The first N valid examples, with their position (GEN-5)."""
+    made = _records(spark, sf_dir).select("gen_id", "attempts", "kind")
+    return R.first_records(made, FIRST_N, FIRST_SEED).select("gen_id", "position", "attempts", "kind")
+
+
+@query("gen_yield", oracle=with_views(f"""
+WITH {_D_RECORDS}, {_D_FIRST_N},
+k AS (SELECT kind, COUNT(*) AS kept, CAST(SUM(attempts) AS BIGINT) AS attempts FROM fn GROUP BY kind)
+SELECT ROW_NUMBER() OVER (ORDER BY kept DESC, kind) AS place, * FROM k"""))
+def gen_yield(spark, sf_dir):
+    """Kept examples and attempts of the first N by kind, most common first (GEN-5)."""
+    made = _records(spark, sf_dir).select("gen_id", "attempts", "kind")
+    k = (R.first_records(made, FIRST_N, FIRST_SEED).groupBy("kind")
+         .agg(F.count(F.lit(1)).alias("kept"), F.sum("attempts").alias("attempts")))
+    order = Window.orderBy(F.desc("kept"), "kind")  # a row for each kind
+    return k.select(F.row_number().over(order).cast("long").alias("place"), "*")
+
+
+_D_STRICT = _D_FIRST.replace("JOIN verified USING (gk) WHERE ok", """JOIN verified USING (gk)
+       WHERE ok AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.gk = s00.gk AND g.kind IN ('topn', 'top1', 'rank')
+                                GROUP BY g.grp HAVING COUNT(*) > COUNT(DISTINCT g.total))""")
+
+
+@query("gen_strict", oracle=with_views(f"""
+WITH {_D_STRICT}
+SELECT w.gen_id, MAX(w.attempt) + 1 AS attempts, MAX(w.kind) AS kind, COUNT(*) AS n_rows, CAST(SUM(g.total) AS BIGINT) AS total
+FROM won w JOIN gold g USING (gk) GROUP BY w.gen_id"""))
+def gen_strict(spark, sf_dir):
+    """Records whose ranked answers hold no ties, by as many attempts as that
+    takes (GEN-5): attempts, kind, rows of the answer and their sum."""
+    r = R.records(load(spark, sf_dir, "customer"), "c_custkey", unambiguous=True)
+    total = F.aggregate("answer", F.lit(0).cast("long"), lambda a, x: a + x["total"])
+    return r.select("gen_id", "attempts", "kind", F.size("answer").cast("long").alias("n_rows"), total.alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,12 @@ from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
 from quarry.sources import io as IO
 from quarry.streaming import logs as L
+from quarry.streaming import tail as T
 
-CHUNKS = 4
+BATCHES = 4                   # micro-batches that a replayed folder is read in
+PERIOD = timedelta(days=5)    # of arrivals in one batch
+HORIZON = "1 day"             # within which a line that comes again is a replay
+WIDTH = 600                   # seconds of a window of the scoreboard
 
 _D_PARSE = """
 d AS (SELECT DISTINCT ON (stream_id, line_no) stream_id, line_no, value FROM log_frames),
@@ -46,17 +51,43 @@ def log_dedupe(spark, sf_dir):
     return d.join(r, "stream_id")
 
 
-@query("log_frames_stream")
+def _source(spark, df, base, *by):
+    """``df`` in files of a folder, in any order, as a stream of a few batches."""
+    files = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = os.path.join(base, "in")
+    T.write_files(df, path, files, *by)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // BATCHES)).parquet(path)
+
+
+@query("log_frames_stream", oracle=with_views(f"WITH {_D_PARSE} SELECT * FROM parsed"))
 def log_frames_stream(spark, sf_dir):
-    """The log tail as a Structured Streaming job over a file source: state
-    per stream drops replays and stops at END_OF_LOG (STR-1, STR-3)."""
-    lf = view(spark, sf_dir, "log_frames")
+    """The log tail as a Structured Streaming job over shuffled files: the same
+    rows as the batch twin (STR-1, STR-3)."""
     base = IO.scratch(spark, "logstream")
-    L.write_chunks(lf, os.path.join(base, "in"), "line_no", CHUNKS)
-    src = (spark.readStream.schema(lf.schema).option("maxFilesPerTrigger", 1)
-           .parquet(os.path.join(base, "in", "chunk_*")))
-    out = L.log_lines_stream(src)
-    return L.run_available_now(spark, out, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    src = _source(spark, view(spark, sf_dir, "log_frames"), base, "value", "line_no")
+    out = os.path.join(base, "out")
+    T.drain(T.tail_lines(src), os.path.join(base, "ckpt"), sink=out)
+    return T.cut_at_end(spark.read.schema(T.LINES).parquet(out))
+
+
+@query("log_dedupe_stream", oracle=with_views(f"""
+SELECT stream_id, line_no, copy = 'far' AS again FROM log_arrivals WHERE copy <> 'near'"""))
+def log_dedupe_stream(spark, sf_dir):
+    """Lines that arrive again after a reconnect: dropped within the horizon,
+    let through when they are later than any state is kept for (STR-3)."""
+    a = view(spark, sf_dir, "log_arrivals").withColumn("arrived", F.col("arrived").cast("timestamp"))
+    base = IO.scratch(spark, "dedupe")
+    path = os.path.join(base, "in")
+    days = a.agg(F.min("arrived").alias("lo"), F.max("arrived").alias("hi")).first()
+    at, out = days["lo"], os.path.join(base, "out")
+    while at is not None and at <= days["hi"]:  # what arrives in a period; the stream goes on from its checkpoint
+        due = a.where((F.col("arrived") >= F.lit(at)) & (F.col("arrived") < F.lit(at + PERIOD)))
+        T.write_files(due, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        src = spark.readStream.schema(a.schema).parquet(path)
+        T.drain(T.dedupe_within(src, ["stream_id", "line_no"], "arrived", HORIZON), os.path.join(base, "ckpt"), sink=out)
+        at += PERIOD
+    kept = spark.read.schema(a.schema).parquet(out) if at is not None else a
+    return kept.select("stream_id", "line_no", (F.col("copy") == "far").alias("again"))
 
 
 @query("sse_frames", oracle=with_views("""
@@ -79,14 +110,24 @@ def sse_frames(spark, sf_dir):
     return L.sse_results(view(spark, sf_dir, "sse_lines"))
 
 
-@query("scoreboard_stream")
+_FINISHED = "1704067200 + example_id * 3 % 86400"  # seconds; a day of results
+
+
+@query("scoreboard_stream", oracle=with_views(f"""
+SELECT CAST(sec - sec % {WIDTH} AS BIGINT) AS window_start, kind, COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE status = 'ok' AND executed) AS executed,
+       COUNT(*) FILTER (WHERE status = 'ok' AND correct) AS correct,
+       COUNT(*) FILTER (WHERE status = 'ok' AND repaired) AS repaired,
+       ROUND(CAST(COUNT(*) AS DOUBLE) / {WIDTH}, 4) AS per_second
+FROM (SELECT *, {_FINISHED} AS sec FROM e2e_results) GROUP BY ALL"""))
 def scoreboard_stream(spark, sf_dir):
-    """Running executed / correct / repaired counters per kind while results
-    arrive, as a streaming aggregate in complete mode (STR-4)."""
-    r = view(spark, sf_dir, "e2e_results")
+    """Executed / correct / repaired counters per kind and ten minutes of event
+    time while results arrive, and examples per second; the last state of every
+    window (STR-4)."""
+    r = view(spark, sf_dir, "e2e_results").withColumn("finished", F.timestamp_seconds(F.expr(_FINISHED)))
     base = IO.scratch(spark, "scoreboard")
-    L.write_chunks(r, os.path.join(base, "in"), "example_id", CHUNKS)
-    src = (spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1)
-           .parquet(os.path.join(base, "in", "chunk_*")))
-    return L.run_available_now(spark, L.running_scoreboard(src), os.path.join(base, "out"),
-                               os.path.join(base, "ckpt"), mode="complete")
+    src = _source(spark, r, base, "example_id")
+    board = T.windowed_scoreboard(src, "finished", f"{WIDTH} seconds", horizon="2 days")
+    sink = T.Upserts(os.path.join(base, "out"), ["window_start", "kind"])
+    T.drain(board, os.path.join(base, "ckpt"), mode="update", upserts=sink)
+    return sink.read(spark)

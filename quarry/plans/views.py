@@ -262,6 +262,17 @@ UNION ALL
 SELECT user_id % 16 AS stream_id, event_id AS line_no, {_FRAME} AS value FROM events
 WHERE event_id % 10 = 0"""
 
+# Lines with their time of arrival: some come again within the hour after a
+# reconnect, a few once more weeks later.
+LOG_ARRIVALS = """
+SELECT user_id % 16 AS stream_id, event_id AS line_no, ts AS arrived, 'first' AS copy FROM events
+UNION ALL
+SELECT user_id % 16 AS stream_id, event_id AS line_no, ts + INTERVAL '1' HOUR AS arrived, 'near' AS copy FROM events
+WHERE event_id % 10 = 0
+UNION ALL
+SELECT user_id % 16 AS stream_id, event_id AS line_no, ts + INTERVAL '20' DAY AS arrived, 'far' AS copy FROM events
+WHERE event_id % 70 = 0"""
+
 REQUESTS = f"""
 SELECT example_id AS request_id,
        CASE WHEN example_id % 43 = 0 THEN repeat(sql_context, 200) ELSE sql_context END AS schema,
@@ -324,6 +335,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "catalog": (CATALOG, ("examples", "schema_columns")),
     "class_stats": (CLASS_STATS, ()),
     "log_frames": (LOG_FRAMES, ()),
+    "log_arrivals": (LOG_ARRIVALS, ()),
     "requests": (REQUESTS, ("examples",)),
     "e2e_results": (E2E_RESULTS, ("examples",)),
     "prompt_outcomes": (PROMPT_OUTCOMES, ("examples",)),

@@ -1,26 +1,17 @@
-"""Log and event streams (STR-1..4).
+"""Log and event lines, as batches (STR-1..4); the streams are in ``tail``.
 
 * ``parse_log_lines`` -- stateless parsing of one log line (Column
   expressions), shared by the batch and the streaming plan.
-* ``log_lines_batch`` -- the batch twin: drop replayed duplicates, stop each
-  stream at its first END_OF_LOG.
-* ``log_lines_stream`` -- the same on a Structured Streaming source: the
-  per-stream stop and the replay filter need state, kept with
-  ``applyInPandasWithState`` keyed by stream (state = last line emitted and
-  whether the stream ended).  Lines of one stream arrive in line order.
+* ``log_lines_batch`` -- replayed duplicates dropped, each stream stopped at
+  its first END_OF_LOG.
 * ``sse_results`` -- server-sent-event frames to one result per stream.
-* ``running_scoreboard`` -- a streaming aggregate in complete mode.
+* ``running_scoreboard`` -- counters per kind.
 """
 
 from __future__ import annotations
 
-import os
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.text import strip
 
@@ -53,61 +44,7 @@ def log_lines_batch(df: DataFrame) -> DataFrame:
             .select("stream_id", "line_no", "text"))
 
 
-OUT_SCHEMA = "stream_id long, line_no long, text string"
-STATE_SCHEMA = "last_line long, ended boolean"
-
-
-def _tail(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, ended = (state.get if state.exists else (-(1 << 62), False))
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf[pdf["line_no"] > last].drop_duplicates("line_no").sort_values("line_no")
-    keep = []
-    if not ended:
-        for row in pdf.itertuples(index=False):
-            keep.append((row.stream_id, row.line_no, row.text))
-            last = row.line_no
-            if row.is_end:
-                ended = True
-                break
-    state.update((int(last), bool(ended)))
-    yield pd.DataFrame(keep, columns=["stream_id", "line_no", "text"])
-
-
-def log_lines_stream(stream: DataFrame) -> DataFrame:
-    """Streaming twin of ``log_lines_batch``."""
-    p = parse_log_lines(stream).where(F.col("value") != "").select("stream_id", "line_no", "text", "is_end")
-    return p.groupBy("stream_id").applyInPandasWithState(
-        _tail, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def write_chunks(df: DataFrame, path: str, order_col: str, chunks: int) -> list[str]:
-    """Write a frame as ``chunks`` files, one job each, in ``order_col``
-    ranges, so that a file source replays them in order."""
-    b = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"])
-    step = (hi - lo) // chunks + 1
-    out = []
-    for i in range(chunks):
-        part = df.where((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        p = os.path.join(path, f"chunk_{i:04d}")
-        part.coalesce(1).write.mode("overwrite").parquet(p)
-        out.append(p)
-    return out
-
-
-def run_available_now(spark: SparkSession, stream_df: DataFrame, sink: str, ckpt: str,
-                      mode: str = "append") -> DataFrame:
-    """Drain a stream with ``availableNow`` into parquet and read the result."""
-    if mode == "complete":
-        def upsert(batch: DataFrame, _id: int) -> None:
-            batch.write.mode("overwrite").parquet(sink)
-        q = (stream_df.writeStream.outputMode("complete").foreachBatch(upsert)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    else:
-        q = (stream_df.writeStream.format("parquet").outputMode("append").option("path", sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+BLOCK = 1 << 16  # lines of a stream that one task looks at together
 
 
 def sse_results(lines: DataFrame) -> DataFrame:
@@ -115,24 +52,22 @@ def sse_results(lines: DataFrame) -> DataFrame:
     line under a ``complete`` or ``error`` event decides; the event name
     carries over to later frames (STR-2).
 
-    The carried event is found without a window over a stream: among the
-    stream's event and data lines, a data line's position minus its position
-    among data lines is the number of event lines before it -- its segment;
-    the k-th event line (from 1) opens segment k.  An equi-join on (stream,
-    segment) attaches the event, and the first decisive line is a partial
-    aggregate.  Line numbers are unique within a stream."""
-    from quarry.operators.sample import rank_in_groups as group_positions
+    A prefix scan in place of a window over a whole stream: within a block of
+    lines the event carries over by a window, every block hands its last event
+    on, and the first lines of a block take what the blocks before it hand
+    over (one row a block).  No sort is global and nothing is stored.  Line
+    numbers are unique within a stream."""
     ev = F.when(F.col("line").startswith("event:"), strip(F.substring("line", 7, 1 << 30)))
-    x = (lines.select("stream_id", "line_no", "line", ev.alias("ev"),
-                      F.col("line").startswith("data:").alias("is_data"))
+    x = (lines.select("stream_id", "line_no", "line", ev.alias("ev"), F.col("line").startswith("data:").alias("is_data"),
+                      F.expr(f"line_no div {BLOCK}").alias("block"))
          .where(F.col("ev").isNotNull() | F.col("is_data")))
-    allp = group_positions(x, ["stream_id"], ["line_no"], "pa")
-    data = (group_positions(allp.where("is_data"), ["stream_id"], ["line_no"], "pd")
-            .select("stream_id", "line_no", "line", (F.col("pa") - F.col("pd")).alias("seg")))
-    events = (group_positions(allp.where(F.col("ev").isNotNull()), ["stream_id"], ["line_no"], "pe")
-              .select("stream_id", (F.col("pe") + 1).alias("seg"), F.col("ev").alias("event")))
-    decisive = (data.join(events, ["stream_id", "seg"])
-                .where(F.col("event").isin("complete", "error"))
+    within = Window.partitionBy("stream_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("own", F.last("ev", ignorenulls=True).over(within))
+    handed = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (x.groupBy("stream_id", "block").agg(F.max_by("own", "line_no").alias("last"))
+              .select("stream_id", "block", F.last("last", ignorenulls=True).over(handed).alias("carried")))
+    decisive = (x.where("is_data").join(blocks, ["stream_id", "block"])
+                .withColumn("event", F.coalesce("own", "carried")).where(F.col("event").isin("complete", "error"))
                 .withColumn("raw", strip(F.substring("line", 6, 1 << 30))))
     first = decisive.groupBy("stream_id").agg(F.min_by(F.struct("event", "raw"), F.col("line_no")).alias("f"))
     ids = lines.select("stream_id").distinct()

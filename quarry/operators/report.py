@@ -73,25 +73,94 @@ def discordant(outcomes: DataFrame, a: str, runs: Sequence[str]) -> DataFrame:
         F.count_if((F.col("b_ok") == 0) & (F.col("a_ok") == 1)).alias("c"))
 
 
+def _stirling_error(n: Column) -> Column:
+    """ln(n!) less Stirling's formula for it: from the factorial for small n, by its series beyond."""
+    small = F.log(F.factorial(F.least(n, F.lit(15)).cast("int")).cast("double")) - (n + 0.5) * F.log(n) + n - 0.5 * math.log(2 * math.pi)
+    q = n * n
+    return F.when(n < 16, small).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / q) / q) / q) / n)
+
+
+def _deviance(x: Column, m: Column) -> Column:
+    """x ln(x/m) + m - x without cancellation."""
+    v = (x - m) / (x + m)
+    v2, tail = v * v, F.lit(0.0)
+    for j in range(10, 0, -1):
+        tail = (tail + 1.0 / (2 * j + 1)) * v2
+    return F.when(F.abs(v) < 0.1, (x - m) * v + 2 * x * v * tail).otherwise(x * F.log(x / m) + m - x)
+
+
+def _beta_fraction(a: Column, b: Column, steps: Column) -> Column:
+    """Continued fraction of the incomplete beta function at 1/2, by Lentz's
+    method: a fold that does nothing any more once its factors are 1."""
+    def unit(aa: Column, s: Column) -> tuple[Column, Column]:
+        return 1 / (1 + aa * s["d"]), 1 + aa / s["c"]
+
+    def struct(c: Column, d: Column, h: Column, done: Column) -> Column:
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"), done.alias("done"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) / 2 / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) / 2 / ((a + 2 * m) * (a + 2 * m + 1))
+        d1, c1 = unit(even, s)
+        half = F.element_at(F.transform(F.array(struct(c1, d1, s["h"] * d1 * c1, s["done"])), lambda t: struct(
+            unit(odd, t)[1], unit(odd, t)[0], t["h"] * unit(odd, t)[0] * unit(odd, t)[1], F.abs(unit(odd, t)[0] * unit(odd, t)[1] - 1) < 1e-15)), 1)
+        return F.when(s["done"], s).otherwise(half)
+
+    d0 = 1 / (1 - (a + b) / 2 / (a + 1))
+    return F.aggregate(F.sequence(F.lit(1), steps), struct(F.lit(1.0), d0, d0, F.lit(False)), step, lambda s: s["h"])
+
+
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """min(1, 2 * sum_{k <= min(b, c)} C(n, k) / 2^n), n = b + c (AGG-5): the
+    lower tail of a binomial as an incomplete beta function, so the work grows
+    as the root of n at most and nothing overflows."""
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    dense = (F.exp(_stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2))
+             * F.sqrt(n / (2 * math.pi * k * (n - k))))
+    at_k = F.when(k == 0, F.pow(F.lit(0.5), n)).otherwise(dense)
+    steps = (256 + F.ceil(F.sqrt(n) / 4)).cast("int")
+    return F.when(b == c, F.lit(1.0)).otherwise(F.least(F.lit(1.0), at_k * _beta_fraction(n - k, k + 1, steps)))
+
+
 def mcnemar_exact(bc: DataFrame, key: str = "run") -> DataFrame:
-    """Two-sided exact McNemar p-value per row of ``(key, b, c)`` (AGG-5).
-
-    p = min(1, 2 * sum_{k<=min(b,c)} C(n,k) / 2^n), n = b + c, evaluated in
-    log space so that large n does not overflow: one row per k, a running sum
-    of ln((n-k+1)/k) gives ln C(n,k).
-    """
-    ln2 = math.log(2.0)
-    terms = (bc.select(key, "b", "c", (F.col("b") + F.col("c")).alias("n"),
-                       F.explode(F.sequence(F.lit(0).cast("long"),
-                                            F.least("b", "c").cast("long"))).alias("k"))
-             .withColumn("t", F.when(F.col("k") == 0, F.lit(0.0))
-                         .otherwise(F.log(F.col("n") - F.col("k") + 1) - F.log(F.col("k")))))
-    w = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    terms = terms.withColumn("logc", F.sum("t").over(w))
-    p = terms.groupBy(key, "b", "c").agg(
-        F.sum(F.exp(F.col("logc") - F.col("n") * F.lit(ln2))).alias("s"))
-    return p.select(key, "b", "c", F.round(F.least(F.lit(1.0), F.lit(2.0) * F.col("s")), 6)
-                    .alias("p_value"))
+    """Two-sided exact McNemar p-value per row of ``(key, b, c)`` (AGG-5)."""
+    return bc.select(key, "b", "c", F.round(mcnemar_p(F.col("b"), F.col("c")), 6).alias("p_value"))
+
+
+def run_masks(outcomes: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """One row per example and class: ``ok`` and ``seen``, a bit for each of
+    ``runs`` that was right on it, and that looked at it (JN-12, AGG-17)."""
+    bit = F.element_at(F.create_map(*[x for i, r in enumerate(runs) for x in (F.lit(r), F.lit(1 << i).cast("long"))]), F.col("run"))
+    return (outcomes.where(F.col("run").isin(*runs)).withColumn("_bit", bit).groupBy("example_id")
+            .agg(F.max("class").alias("class"), F.bit_or(F.when(F.col("exec_ok").cast("int") == 1, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias("ok"),
+                 F.bit_or("_bit").alias("seen")))
+
+
+def pairwise(outcomes: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """Every ordered pair of different ``runs`` in one pass (AGG-3, AGG-17):
+    run_a, run_b, n examples of both, wins (b right, a wrong), regressions,
+    both_correct, both_wrong, points gained, exact p, and whether both looked
+    at the same examples (JN-12).
+
+    Examples become bit masks; equal masks are counted, at most 4 to the power
+    of the number of runs, and the pairs are read off the counts."""
+    names = F.array(*[F.lit(r) for r in runs])
+    masks = run_masks(outcomes, runs).groupBy("ok", "seen").agg(F.count(F.lit(1)).alias("m"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(runs)) for j in range(len(runs)) if i != j])
+    x = masks.select("*", F.explode(pairs).alias("p")).select("m", "p.*", *[F.expr(f"shiftright({mask}, p.{at}) & 1 = 1").alias(f"{name}_{at}")
+                                                                          for mask, name in (("ok", "ok"), ("seen", "in")) for at in "ij"])
+    both = F.col("in_i") & F.col("in_j")
+    count = lambda when: F.coalesce(F.sum(F.when(when, F.col("m"))), F.lit(0))
+    t = x.groupBy("i", "j").agg(
+        count(both).alias("n"), count(both & F.col("ok_j") & ~F.col("ok_i")).alias("wins"),
+        count(both & F.col("ok_i") & ~F.col("ok_j")).alias("regressions"),
+        count(both & F.col("ok_i") & F.col("ok_j")).alias("both_correct"),
+        count(both & ~F.col("ok_i") & ~F.col("ok_j")).alias("both_wrong"),
+        (count(F.col("in_i") != F.col("in_j")) == 0).alias("comparable")).where("n > 0")
+    return t.select(F.element_at(names, F.col("i") + 1).alias("run_a"), F.element_at(names, F.col("j") + 1).alias("run_b"), "n", "wins",
+                    "regressions", "both_correct", "both_wrong",
+                    F.round((F.col("wins") - F.col("regressions")) * 100.0 / F.col("n"), 1).alias("points"),
+                    F.round(mcnemar_p(F.col("wins"), F.col("regressions")), 6).alias("p_value"), "comparable")
 
 
 def accuracy_se(outcomes: DataFrame) -> DataFrame:

@@ -252,3 +252,27 @@ def topk_classes(spark, sf_dir):
     p = preference_pairs(spark, sf_dir)
     return (p.groupBy("complexity").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), F.asc("complexity")).limit(6))
+
+
+_D_ALL_PAIRS = """
+o AS (SELECT example_id, run, CAST(exec_ok AS INT) AS ok FROM outcomes),
+bc AS (SELECT a.run AS run_a, b.run AS run_b, COUNT(*) AS n,
+              COUNT(*) FILTER (WHERE b.ok = 1 AND a.ok = 0) AS wins, COUNT(*) FILTER (WHERE b.ok = 0 AND a.ok = 1) AS regressions,
+              COUNT(*) FILTER (WHERE b.ok = 1 AND a.ok = 1) AS both_correct, COUNT(*) FILTER (WHERE b.ok = 0 AND a.ok = 0) AS both_wrong
+       FROM o a JOIN o b USING (example_id) WHERE a.run <> b.run GROUP BY a.run, b.run),
+k AS (SELECT *, unnest(range(0, least(wins, regressions) + 1)) AS k FROM bc),
+l AS (SELECT *, SUM(CASE WHEN k = 0 THEN 0.0 ELSE ln(wins + regressions - k + 1) - ln(k) END)
+                  OVER (PARTITION BY run_a, run_b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS logc FROM k),
+pv AS (SELECT run_a, run_b, ROUND(least(1.0, 2.0 * SUM(exp(logc - (wins + regressions) * ln(2.0)))), 6) AS p_value FROM l GROUP BY run_a, run_b),
+sz AS (SELECT run, COUNT(*) AS size FROM o GROUP BY run)"""
+
+
+@query("compare_all_runs", oracle=with_views(f"""
+WITH {_D_ALL_PAIRS}
+SELECT run_a, run_b, n, wins, regressions, both_correct, both_wrong, ROUND((wins - regressions) * 100.0 / n, 1) AS points, p_value,
+       n = sa.size AND n = sb.size AS comparable
+FROM bc JOIN pv USING (run_a, run_b) JOIN sz sa ON sa.run = run_a JOIN sz sb ON sb.run = run_b"""))
+def compare_all_runs(spark, sf_dir):
+    """Wins and regressions of every run over every other, with the exact test
+    and whether they saw the same examples (AGG-3, AGG-5, AGG-17, JN-12)."""
+    return R.pairwise(_outcomes(spark, sf_dir), ["base", *RUNS])

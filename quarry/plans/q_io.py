@@ -51,6 +51,23 @@ def jsonl_roundtrip(spark, sf_dir):
                        F.element_at("messages", -1).getField("content").alias("answer"), "id")
 
 
+FIRST_N = 700
+
+
+@query("jsonl_first_n", oracle=with_views(f"""
+SELECT example_id, source FROM examples ORDER BY example_id LIMIT {FIRST_N}"""))
+def jsonl_first_n(spark, sf_dir):
+    """The first N records of a folder of JSON Lines files with blank lines,
+    in the order of files and lines (SRC-2)."""
+    recs = _records(spark, sf_dir).select("example_id", "source")
+    path = IO.scratch(spark, "jsonl-first")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = (recs.repartitionByRange(parts, "example_id").sortWithinPartitions("example_id")
+             .select(F.concat(F.to_json(F.struct(*recs.columns)), F.when(F.col("example_id") % 3 == 0, "\n").otherwise("")).alias("value")))
+    lines.write.text(path)
+    return IO.read_jsonl(spark, path, recs.schema, first_n=FIRST_N)
+
+
 @query("scan_examples", oracle=with_views(f"""
 SELECT example_id, gold_sql FROM examples WHERE {_D_SPLIT} = 'valid'"""))
 def scan_examples(spark, sf_dir):

@@ -12,6 +12,8 @@ from quarry.plans.q_text import DUCK_CLASS, DUCK_NORM
 from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
 from quarry.session import cut_lineage
+from quarry.sources import io as IO
+from quarry.sources.versions import VersionedTable
 
 SEED = 42
 SOURCES = ["gretel", "createcontext", "multilevel"]
@@ -279,3 +281,31 @@ def length_gate(spark, sf_dir):
     share = over.cast("double") / F.count(F.lit(1))
     return ln.agg(F.count(F.lit(1)).alias("n"), over.alias("over"),
                   F.round(share, 4).alias("share"), (share <= F.lit(TOLERATE)).alias("ok"))
+
+
+_D_KEPT = f"lens2 AS (SELECT * FROM lens WHERE len <= {MAX_SEQ})"
+
+
+@query("length_rewrite", oracle=with_views(f"""
+WITH {_D_LEN}, {_D_KEPT}
+SELECT example_id, len, (SELECT COUNT(*) FROM lens) AS n_before, (SELECT COUNT(*) FROM lens2) AS n_after, 2 AS version FROM lens2"""))
+def length_rewrite(spark, sf_dir):
+    """Drop rows over the cap from a stored table: a second version of it,
+    made while the first is read, and its rows (SNK-3)."""
+    t = VersionedTable(spark, IO.scratch(spark, "lengths"))
+    t.write(_lengths(spark, sf_dir))
+    before, after = t.rewrite(lambda d: d.where(F.col("len") <= MAX_SEQ))
+    return t.read().select("example_id", "len", F.lit(before).cast("long").alias("n_before"), F.lit(after).cast("long").alias("n_after"),
+                           F.lit(t.latest()["version"]).cast("int").alias("version"))
+
+
+@query("keep_test_split", oracle=with_views(f"""
+WITH {_D_SPLITS} SELECT example_id, (SELECT COUNT(*) FROM te) AS n FROM te"""))
+def keep_test_split(spark, sf_dir):
+    """A test split that is there already stays as it is when the splits are
+    drawn again, from other rows even (SNK-4)."""
+    c, pool = _pool(spark, sf_dir)
+    t = VersionedTable(spark, IO.scratch(spark, "test-split"))
+    t.keep(_held_out(spark, c, pool).select("example_id"))
+    n = t.keep(c.select("example_id"))
+    return t.read().select("example_id", F.lit(n).cast("long").alias("n"))

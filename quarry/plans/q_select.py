@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.operators import select as SEL
 from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
@@ -28,6 +30,7 @@ st AS (SELECT f.example_id, f.sql0, f.err0, r.repair_sql,
               CASE WHEN r.win IS NOT NULL THEN r.wsql ELSE f.sql0 END AS sql1,
               CASE WHEN r.win IS NOT NULL THEN NULL ELSE f.err0 END AS err1,
               CASE WHEN r.win IS NOT NULL THEN r.wlint ELSE f.lint0 END AS lint1,
+              array_to_string(list_transform(range(1, CASE WHEN r.win IS NOT NULL THEN r.wlint ELSE f.lint0 END + 1), lambda i: 'issue ' || i), ' ') AS issues1,
               CASE WHEN r.win IS NOT NULL OR NOT coalesce(f.err0 IS NOT NULL AND NOT starts_with(f.err0, 'only read'), FALSE)
                    THEN NULL ELSE r.last_msg END AS repair_error
        FROM first f LEFT JOIN ragg r USING (example_id)),
@@ -43,13 +46,21 @@ chosen AS (
          s.repair_attempted, s.repair_sql, s.repair_error,
          CAST(CASE WHEN l.lint_sql IS NOT NULL OR s.err1 IS NOT NULL THEN 0 ELSE s.lint1 END AS INTEGER) AS lint_n,
          l.lint_sql IS NOT NULL AS lint_fixed,
-         CASE WHEN s.repair_attempted OR l.lint_sql IS NOT NULL THEN s.sql0 END AS first_attempt_sql
+         CASE WHEN l.lint_sql IS NULL AND s.err1 IS NULL AND s.lint1 > 0 THEN s.issues1 END AS lint_issues,
+         CASE WHEN l.lint_sql IS NOT NULL THEN s.sql1 WHEN s.repair_attempted THEN s.sql0 END AS first_attempt_sql,
+         CASE WHEN l.lint_sql IS NOT NULL THEN 'structural: ' || s.issues1 WHEN s.repair_attempted THEN s.err0 END AS first_attempt_error
   FROM st s LEFT JOIN lint l USING (example_id))"""
 
 
+def _attempts(spark, sf_dir):
+    """Attempts with a text for each issue of the lint."""
+    texts = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.col("lint_n")), lambda i: i > 0), lambda i: F.concat(F.lit("issue "), i.cast("string"))), " ")
+    return view(spark, sf_dir, "candidates").withColumn("issues", texts)
+
+
 @query("select_candidate", oracle=with_views(f"WITH {_D_SELECT} SELECT * FROM chosen"))
 def select_candidate(spark, sf_dir):
-    return SEL.select_candidate(view(spark, sf_dir, "candidates"))
+    return SEL.select_candidate(_attempts(spark, sf_dir))
 
 
 @query("repair_stats", oracle=with_views(f"""
@@ -61,4 +72,4 @@ SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE executed) AS executed,
        COUNT(*) FILTER (WHERE repair_attempted AND NOT executed) AS still_failing
 FROM chosen"""))
 def repair_stats(spark, sf_dir):
-    return SEL.repair_stats(SEL.select_candidate(view(spark, sf_dir, "candidates")))
+    return SEL.repair_stats(SEL.select_candidate(_attempts(spark, sf_dir)))

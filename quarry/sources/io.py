@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,20 +37,39 @@ def scratch(spark: SparkSession, name: str) -> str:
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     """Write JSON Lines (one part file per task) and return the row count,
     measured while writing by an ``Observation`` -- no second pass (SNK-1).
-    ``mode='ignore'`` leaves an existing output untouched (SNK-4)."""
+    Tables that are rewritten or kept: ``versions.VersionedTable`` (SNK-3, SNK-4)."""
     obs = Observation("rows")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
     return int(obs.get.get("n", 0)) if obs.get else 0
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType,
-               first_n: int | None = None, order_by: str | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, first_n: int | None = None) -> DataFrame:
     """Read JSON Lines with an explicit schema; blank lines are skipped.
-    ``first_n`` keeps the first rows in ``order_by`` order (SRC-2)."""
-    df = spark.read.schema(schema).json(path)
-    if first_n is not None:
-        df = df.orderBy(order_by).limit(first_n)
-    return df
+    ``first_n`` keeps the first rows in the order of the files' names and of
+    the lines within a file (SRC-2)."""
+    if first_n is None:
+        return spark.read.schema(schema).json(path)
+    value = first_lines(spark, path, first_n)
+    return value.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` lines of a folder's files that are not blank (value).
+
+    Lines are counted by block, the stretch of a file that one task reads;
+    blocks before the cut are taken whole, and only the lines of the block with
+    the cut are numbered.  No line is sorted against those of other blocks."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"))
+    blocks = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0))).where(F.col("before") < n)
+    x = lines.join(blocks, ["file", "at"])
+    whole = x.where(F.col("before") + F.col("held") <= n)
+    cut = x.where(F.col("before") + F.col("held") > n)  # one block at most
+    cut = cut.withColumn("i", F.row_number().over(Window.partitionBy("file", "at").orderBy("place")))
+    return whole.select("value").unionByName(cut.where(F.col("before") + F.col("i") <= n).select("value"))
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:

@@ -17,9 +17,11 @@ SCHEMA_HEAD = "### Schema\n"
 QUESTION_HEAD = "\n\n### Question\n"
 TURN_OPEN = "<|im_start|>"
 TURN_CLOSE = "<|im_end|>\n"
-REPAIR_HEADS = ("### Schema\n", "\n\n### Question\n", "\n\n### Previous answer\n",
-                "\n\n### Error from the database\n", "\n\n")
-REPAIR_ASK = "Rewrite the query so that it runs, using only the tables and columns of the schema."
+REPAIR_HEADS = ("### Schema\n", "\n\n### Question\n", "\n\n### Your previous answer\n",
+                "\n\n### It failed with this SQLite error\n", "\n\n")
+REPAIR_ASK = ("Rewrite the query so it runs. Use only tables and columns that appear in the\n"
+              "schema above.")
+REPAIR_LAST = "\n\nOutput only the corrected SQL, and make it different from the previous answer."
 # -----------------------------------------------------------------------------
 
 
@@ -81,4 +83,4 @@ def repair_prompt(schema, question, sql, err) -> Column:
     for the error class (PRJ-8)."""
     h = REPAIR_HEADS
     return F.concat(F.lit(h[0]), strip(schema), F.lit(h[1]), strip(question), F.lit(h[2]), _c(sql),
-                    F.lit(h[3]), _c(err), F.lit(h[4]), F.lit(REPAIR_ASK), repair_hint_text(err))
+                    F.lit(h[3]), _c(err), F.lit(h[4]), F.lit(REPAIR_ASK), repair_hint_text(err), F.lit(REPAIR_LAST))

@@ -159,8 +159,10 @@ def has_ddl(ctx) -> Column:
 
 
 def norm_num(x) -> Column:
-    """Cell normalisation for numbers: 4 decimals, as canonical text (TXT-8)."""
-    return F.round(_c(x).cast("double"), 4).cast("decimal(38,4)").cast("string")
+    """Cell normalisation for numbers: 4 decimals, as canonical text (TXT-8);
+    NaN, the infinities and numbers of over 34 digits keep the text of a double."""
+    n = F.round(_c(x).cast("double"), 4)
+    return F.coalesce(n.try_cast("decimal(38,4)").cast("string"), n.cast("string"))
 
 
 def norm_text(x) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import chat
 from quarry.operators import catalog as K
+from quarry.operators import counting as C
 from quarry.operators import generate as G
 from quarry.operators import records as R
 from quarry.operators import sample as S
@@ -17,6 +18,7 @@ from quarry.plans import q_sample
 from quarry.plans.registry import query
 from quarry.plans.views import hexd as dhex
 from quarry.plans.views import with_views
+from quarry.session import cut_lineage
 from quarry.sources.tables import load
 
 
@@ -196,6 +198,24 @@ def holdout_nonempty(spark, sf_dir):
     return g.groupBy("gen_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 0)
 
 
+def _combined(spark, sf_dir):
+    """Ids of real (balanced pool) and verified synthetic examples, with a seeded key."""
+    pool, _ = S.quota_rows(q_sample.candidates(spark, sf_dir), q_sample.quotas(spark, sf_dir), q_sample.SOURCES, q_sample.SEED)
+    real = pool.select(F.lit("real").alias("origin"), F.col("example_id").alias("id"))
+    syn = verify_multilevel(spark, sf_dir).select(F.lit("multilevel").alias("origin"), F.col("gen_id").alias("id"))
+    return real.unionByName(syn).withColumn("key", S.shuffle_key(q_sample.SEED, "origin", "id"))
+
+
+@query("combined_rows", oracle=with_views(f"""
+WITH {q_sample._D_POOL}, {_GEN},
+u AS (SELECT 'real' AS origin, example_id AS id FROM pool
+      UNION ALL SELECT 'multilevel' AS origin, gen_id AS id FROM verified WHERE ok)
+SELECT origin, id, ROW_NUMBER() OVER (ORDER BY md5('{q_sample.SEED}|' || origin || '|' || CAST(id AS VARCHAR)), id) AS position FROM u"""))
+def combined_rows(spark, sf_dir):
+    """Real and synthetic examples in one reshuffled order (SET-1)."""
+    return C.ranks(cut_lineage(_combined(spark, sf_dir)), [], "key", "id", "position").drop("key")
+
+
 @query("combine_sets", oracle=with_views(f"""
 WITH {q_sample._D_POOL}, {_GEN},
 u AS (SELECT 'real' AS origin, example_id AS id FROM pool
@@ -203,13 +223,8 @@ u AS (SELECT 'real' AS origin, example_id AS id FROM pool
 c AS (SELECT origin, COUNT(*) AS n FROM u GROUP BY origin)
 SELECT origin, n, ROUND(CAST(n AS DOUBLE) / SUM(n) OVER (), 4) AS share FROM c"""))
 def combine_sets(spark, sf_dir):
-    """Real (balanced pool) plus verified synthetic examples, reshuffled,
-    with each part's share (SET-1)."""
-    real = q_sample.balanced(spark, sf_dir).select(F.lit("real").alias("origin"),
-                                                   F.col("example_id").alias("id"))
-    syn = verify_multilevel(spark, sf_dir).select(F.lit("multilevel").alias("origin"),
-                                                  F.col("gen_id").alias("id"))
-    u = real.unionByName(syn).withColumn("k", S.shuffle_key(q_sample.SEED, "origin", "id"))
+    """Each part's share of the combined set (SET-1)."""
+    u = _combined(spark, sf_dir)
     c = u.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
     tot = c.agg(F.sum("n").alias("t"))  # one-row frame
     return c.crossJoin(tot).select("origin", "n", F.round(F.col("n").cast("double") / F.col("t"), 4)

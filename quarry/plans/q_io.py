@@ -90,21 +90,27 @@ def _report(spark, sf_dir, dataset: str):
                 .alias("by_complexity")))  # one entry per class: bounded
     samples = (R.report_samples(o).agg(F.array_sort(F.collect_list(F.struct("outcome", "k", "example_id")))
                                        .alias("samples")))  # at most 24 entries
-    train = (view(spark, sf_dir, "examples").agg(F.count(F.lit(1)).alias("train_examples")))
+    train = (view(spark, sf_dir, "examples").where(_split_col() == "train")
+             .agg(F.count(F.lit(1)).alias("train_examples")))
+    delta = [F.round(F.col(f"r1.{k}") - F.col(f"base.{k}"), 4).alias(k) for k in R.METRICS if k != "n"]
     n = o.where(F.col("run") == "base").agg(F.count(F.lit(1)).alias("n_examples"))
     one = (m["base"].crossJoin(m["r1"]).crossJoin(counts).crossJoin(byc).crossJoin(samples)
            .crossJoin(train).crossJoin(n))  # all one-row frames
     return one.select(F.lit(dataset).alias("dataset"), F.lit("greedy").alias("decoding"), "n_examples",
-                      "train_examples", F.struct(F.col("base"), F.col("r1").alias("tuned")).alias("metrics"),
+                      "train_examples", F.struct(F.col("base"), F.col("r1").alias("tuned"), F.struct(*delta).alias("deltas")).alias("metrics"),
                       "by_complexity", "counts", "samples")
 
 
-@query("report_nested", oracle=with_views("""
+@query("report_nested", oracle=with_views(f"""
 WITH b AS (SELECT ROUND(AVG(CAST(exec_ok AS DOUBLE)), 4) AS a FROM outcomes WHERE run = 'base'),
-t AS (SELECT ROUND(AVG(CAST(exec_ok AS DOUBLE)), 4) AS a FROM outcomes WHERE run = 'r1')
+t AS (SELECT ROUND(AVG(CAST(exec_ok AS DOUBLE)), 4) AS a FROM outcomes WHERE run = 'r1'),
+p AS (SELECT x.class, CAST(x.exec_ok AS INT) AS a, CAST(y.exec_ok AS INT) AS b
+      FROM outcomes x JOIN outcomes y ON x.example_id = y.example_id AND x.run = 'base' AND y.run = 'r1'),
+c AS (SELECT least(COUNT(*), CASE WHEN a = 0 AND b = 1 THEN 14 WHEN a = 1 AND b = 1 THEN 4 ELSE 3 END) AS shown FROM p GROUP BY a, b)
 SELECT 'derived-examples' AS dataset, (SELECT COUNT(*) FROM outcomes WHERE run = 'base') AS n_examples,
-       (SELECT COUNT(*) FROM examples) AS train_examples, b.a AS base_accuracy, t.a AS tuned_accuracy,
-       7 AS classes, 24 AS samples
+       (SELECT COUNT(*) FROM examples WHERE {_D_SPLIT} = 'train') AS train_examples, b.a AS base_accuracy, t.a AS tuned_accuracy,
+       ROUND(t.a - b.a, 4) AS accuracy_delta, (SELECT CAST(COUNT(DISTINCT class) AS INTEGER) FROM p) AS classes,
+       (SELECT CAST(SUM(shown) AS INTEGER) FROM c) AS samples
 FROM b, t"""))
 def report_nested(spark, sf_dir):
     """Write the nested report as JSON, read it back, flatten a few fields."""
@@ -115,6 +121,7 @@ def report_nested(spark, sf_dir):
     return back.select("dataset", "n_examples", "train_examples",
                        F.col("metrics.base.execution_accuracy").alias("base_accuracy"),
                        F.col("metrics.tuned.execution_accuracy").alias("tuned_accuracy"),
+                       F.col("metrics.deltas.execution_accuracy").alias("accuracy_delta"),
                        F.size(F.map_keys(F.from_json(F.to_json("by_complexity"), "map<string,string>")))
                        .alias("classes"),
                        F.size("samples").alias("samples"))

@@ -141,9 +141,10 @@ _D_HINT = """CASE WHEN strpos(lower(coalesce(c.err, '')), 'window function') > 0
 SELECT c.example_id,
        '### Schema' || chr(10) || {_STRIP.format(x='e.sql_context')} || chr(10) || chr(10) ||
        '### Question' || chr(10) || {_STRIP.format(x='e.question')} || chr(10) || chr(10) ||
-       '### Previous answer' || chr(10) || c.sql || chr(10) || chr(10) ||
-       '### Error from the database' || chr(10) || c.err || chr(10) || chr(10) ||
-       'Rewrite the query so that it runs, using only the tables and columns of the schema.' || {_D_HINT} AS prompt
+       '### Your previous answer' || chr(10) || c.sql || chr(10) || chr(10) ||
+       '### It failed with this SQLite error' || chr(10) || c.err || chr(10) || chr(10) ||
+       'Rewrite the query so it runs. Use only tables and columns that appear in the' || chr(10) || 'schema above.' || {_D_HINT} ||
+       chr(10) || chr(10) || 'Output only the corrected SQL, and make it different from the previous answer.' AS prompt
 FROM candidates c JOIN examples e ON c.example_id = e.example_id
 WHERE c.phase = 'first' AND c.err IS NOT NULL AND NOT starts_with(c.err, 'only read')"""))
 def repair_prompt(spark, sf_dir):
@@ -174,25 +175,30 @@ def align_predictions(spark, sf_dir):
 
 
 FETCH_CAP, SHOW_CAP = 200, 50
+NO_ROWS = "_query ran successfully and returned no rows_"  # fixed value
+_NO_ROWS_SQL = f"'{NO_ROWS}'"
 
 
 @query("result_preview", oracle=with_views(f"""
 WITH k AS (SELECT example_id, row_idx, c_int, c_num, c_txt,
                   coalesce(CAST(c_int AS VARCHAR), '') || ' | ' ||
-                  coalesce(CAST(CAST(ROUND(c_num, 4) AS DECIMAL(38,4)) AS VARCHAR), '') || ' | ' || coalesce(c_txt, '') AS cells
+                  coalesce(CAST(CAST(c_num AS DOUBLE) AS VARCHAR), '') || ' | ' || coalesce(c_txt, '') AS cells
            FROM result_rows WHERE side = 'gold'),
 p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY example_id ORDER BY row_idx, cells) - 1 AS pos FROM k),
-f AS (SELECT * FROM p WHERE pos < {FETCH_CAP})
+f AS (SELECT * FROM p WHERE pos < {FETCH_CAP}),
+m AS (
 SELECT example_id, COUNT(*) AS row_count,
        '| c_int | c_num | c_txt |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
        string_agg('| ' || cells || ' |', chr(10) ORDER BY pos) FILTER (WHERE pos < {SHOW_CAP}) AS markdown
-FROM f GROUP BY example_id"""))
+FROM f GROUP BY example_id)
+SELECT e.example_id, coalesce(row_count, 0) AS row_count, coalesce(markdown, {_NO_ROWS_SQL}) AS markdown
+FROM examples e LEFT JOIN m ON m.example_id = e.example_id"""))
 def result_preview(spark, sf_dir):
     """Result table to Markdown: 200 rows fetched, 50 shown, NULL as empty,
     row_count = rows fetched (PRJ-9, PRJ-10, SRT-11)."""
     rr = view(spark, sf_dir, "result_rows").where(F.col("side") == "gold")
     cells = F.concat_ws(" | ", F.coalesce(F.col("c_int").cast("string"), F.lit("")),
-                        F.coalesce(T.norm_num("c_num"), F.lit("")), F.coalesce("c_txt", F.lit("")))
+                        F.coalesce(F.col("c_num").cast("double").cast("string"), F.lit("")), F.coalesce("c_txt", F.lit("")))
     k = rr.select("example_id", "side", "row_idx", cells.alias("cells"))
     w = Window.partitionBy("example_id").orderBy("row_idx", "cells")
     # constant bound after the window: WindowGroupLimit keeps 200 per task
@@ -201,9 +207,10 @@ def result_preview(spark, sf_dir):
     g = f.groupBy("example_id").agg(F.count(F.lit(1)).alias("row_count"),
                                     F.array_sort(F.collect_list(shown)).alias("ls"))
     head = "| c_int | c_num | c_txt |\n| --- | --- | --- |\n"
-    return g.select("example_id", "row_count",
-                    F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"))
-                    .alias("markdown"))
+    table = g.select("example_id", "row_count",
+                     F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("markdown"))
+    return (view(spark, sf_dir, "examples").select("example_id").join(table, "example_id", "left")
+            .select("example_id", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("markdown", F.lit(NO_ROWS)).alias("markdown")))
 
 
 @query("format_report", oracle=with_views("""

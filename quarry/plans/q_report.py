@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import chat
@@ -276,3 +277,44 @@ def compare_all_runs(spark, sf_dir):
     """Wins and regressions of every run over every other, with the exact test
     and whether they saw the same examples (AGG-3, AGG-5, AGG-17, JN-12)."""
     return R.pairwise(_outcomes(spark, sf_dir), ["base", *RUNS])
+
+
+@query("metric_deltas_all", oracle=with_views(f"""
+WITH s AS (SELECT run, {_RATES} FROM outcomes GROUP BY run),
+u AS (UNPIVOT s ON execution_accuracy, valid_sql_rate, exact_match INTO NAME metric VALUE value)
+SELECT t.run, t.metric, ROUND(t.value - b.value, 4) AS delta
+FROM u t JOIN u b ON t.metric = b.metric AND b.run = 'base' WHERE t.run <> 'base'"""))
+def metric_deltas_all(spark, sf_dir):
+    """Every run's metrics less those of the base run (AGG-4): one summary, read once."""
+    m = R.metrics_long(_outcomes(spark, sf_dir))
+    by = m.groupBy("metric").agg(F.max(F.when(F.col("run") == "base", F.col("value"))).alias("base"),
+                                 F.collect_list(F.struct("run", "value")).alias("runs"))  # one entry a run
+    x = by.select("metric", "base", F.explode("runs").alias("r")).where("r.run <> 'base' and base is not null")
+    return x.select("r.run", "metric", F.round(F.col("r.value") - F.col("base"), 4).alias("delta"))
+
+
+@query("accuracy_by_class_all", oracle=with_views("""
+WITH x AS (SELECT coalesce(nullif(class, ''), 'unknown') AS class, run, COUNT(*) AS n,
+                  ROUND(AVG(CAST(exec_ok AS DOUBLE)), 4) AS accuracy FROM outcomes GROUP BY 1, run)
+SELECT *, ROW_NUMBER() OVER (PARTITION BY run ORDER BY n DESC, class) AS place FROM x"""))
+def accuracy_by_class_all(spark, sf_dir):
+    """Accuracy of every run by class, the most common class first (AGG-2, AGG-7)."""
+    cls = F.coalesce(F.nullif(F.col("class"), F.lit("")), F.lit("unknown"))
+    x = _outcomes(spark, sf_dir).groupBy(cls.alias("class"), "run").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("exec_ok").cast("double")), 4).alias("accuracy"))
+    order = Window.partitionBy("run").orderBy(F.desc("n"), "class")  # one row a class
+    return x.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("mix_most_common", oracle=with_views(f"""
+WITH x AS (SELECT 'class' AS what, {DUCK_CLASS.format(x='gold_sql')} AS name, COUNT(*) AS n FROM examples GROUP BY 2
+           UNION ALL SELECT 'source', source, COUNT(*) FROM examples GROUP BY source)
+SELECT *, ROW_NUMBER() OVER (PARTITION BY what ORDER BY n DESC, name) AS place FROM x"""))
+def mix_most_common(spark, sf_dir):
+    """Classes and sources with their counts, most common first, in one pass (AGG-7)."""
+    e = view(spark, sf_dir, "examples")
+    what = F.array(*[F.struct(F.lit(w).alias("what"), c.alias("name")) for w, c in
+                     (("class", T.classify_sql("gold_sql")), ("source", F.col("source")))])
+    x = e.select(F.explode(what).alias("x")).groupBy("x.what", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("what").orderBy(F.desc("n"), "name")  # one row a class or source
+    return x.withColumn("place", F.row_number().over(order).cast("long"))

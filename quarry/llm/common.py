@@ -62,6 +62,19 @@ def running_start(df: DataFrame, order: list[str], amount: str, out: str = "star
             .withColumn(out, F.col(out) + F.col("_running_base")).drop(p, "_running_base"))
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -184,13 +184,15 @@ def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
 
 
 def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+    """doc_id, n_shingles, component_id for every doc_id of ``docs``.
 
     Words are lower-cased in A-Z only and lie between \\x20 and \\x09-\\x0D;
     fewer words than ``gram`` are one shingle.  Null and empty texts are the
-    empty set and link with nothing; rows without doc_id get no component.
-    Equal texts and repeated rows have one set and one component, the smallest
-    doc_id of all that links reach.  Other columns are ignored.
+    empty set and link with nothing.  A doc_id that is repeated gives one row,
+    with the largest of its sets' sizes, linked by what any of its texts links
+    with; rows without doc_id take no part and give no row.  Equal texts have
+    one set and one component, the smallest doc_id of all that links reach.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)

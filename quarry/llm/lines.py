@@ -23,46 +23,57 @@ MIN_RUN = 2
 LONG_WORDS = 50  # of the pipeline stage: a line of more words counts as a run
 
 
+def _tag(text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(t, F.length(t), F.crc32(F.encode(t, "utf-8")))
+
+
 def _split(docs: DataFrame) -> DataFrame:
-    """One row per line: doc_id, all_pos, line."""
-    d = pick(docs, doc_id="long", text="string")
-    return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("all_pos", "line"))
+    """One row per line: doc_id, tag, all_pos, line."""
+    d = pick(docs, doc_id="long", text="string").where("doc_id is not null").withColumn("tag", _tag(F.col("text")))
+    return d.select("doc_id", "tag", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("all_pos", "line"))
 
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, max_level: int = 30,
                   long_words: int | None = None) -> DataFrame:
-    """Deleted stretches: doc_id, pos (number of the non-blank line in its
+    """Deleted stretches: doc_id, tag (of the row's text), pos (number of the non-blank line in its
     document, from 0), level, n_lines = 2**level; the stretch also starts
     earlier, in a smaller doc_id or further up in the same document.
 
     ``min_run``: a power of two.  ``long_words``: a single line counts too if
     it has more words (between white space); None: none does.  Lines are equal when their UTF-8 bytes are;
     blank lines (nothing but white space) are no part of the sequences.  Null
-    and empty texts and repeated rows give no stretch of their own: a doc_id
-    must be given once.  Identity of lines is a 96-bit hash with the length.
+    and empty texts have no lines; rows without doc_id take no part.  Rows of
+    one doc_id with different texts are sequences of their own, in the order of
+    their tags; rows that repeat doc_id and text are one document.  Identity of
+    lines is a 96-bit hash with the length.
     """
     if min_run < 1 or min_run & (min_run - 1):
         raise ValueError("min_run must be a power of two")
     lines = _split(docs).where(F.col("line").rlike(r"[^\x09-\x0D\x20]"))
-    by_doc = Window.partitionBy("doc_id").orderBy("all_pos")
+    by_doc = Window.partitionBy("doc_id", "tag").orderBy("all_pos")
     # the identity is taken before rows move: texts are not shuffled
-    ids = lines.select("doc_id", "all_pos", F.xxhash64("line").alias("a"),
+    ids = lines.select("doc_id", "tag", "all_pos", F.xxhash64("line").alias("a"),
                        F.xxhash64(F.crc32(F.encode("line", "utf-8")), F.length("line")).alias("b"), *_long(long_words))
-    named = ids.select("doc_id", (F.row_number().over(by_doc) - 1).alias("pos"), *ids.columns[2:])
+    rows = ids.select("doc_id", "tag", (F.dense_rank().over(by_doc) - 1).alias("pos"), *ids.columns[3:],
+                      F.lag("all_pos").over(by_doc).alias("_last"), "all_pos")
+    # a line that repeats is that of a repeated row
+    named = rows.where(F.col("_last").isNull() | (F.col("_last") != F.col("all_pos"))).drop("_last", "all_pos")
     active = _shared(named)
     level, found = 0, []
     while True:
         active = stage(active, f"lines-level{level}")
         if 1 << level >= min_run or "long" in active.columns:
             found.append(active.where("not first" if 1 << level >= min_run else "not first and long").select(
-                "doc_id", "pos", F.lit(level).alias("level"), F.lit(1 << level).cast("long").alias("n_lines")))
+                "doc_id", "tag", "pos", F.lit(level).alias("level"), F.lit(1 << level).cast("long").alias("n_lines")))
         if 1 << level >= min_run and (level >= max_level or active.isEmpty()):
             break
         gap = 1 << level
-        ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(gap, gap)
+        ahead = Window.partitionBy("doc_id", "tag").orderBy("pos").rangeBetween(gap, gap)
         pairs = (active.withColumn("a2", F.first("a").over(ahead)).withColumn("b2", F.first("b").over(ahead))
                  .where("a2 is not null")
-                 .select("doc_id", "pos", F.xxhash64("a", "a2", "b2").alias("a"),
+                 .select("doc_id", "tag", "pos", F.xxhash64("a", "a2", "b2").alias("a"),
                          F.xxhash64("b", "b2", "a2", "a").alias("b")))
         active = _shared(pairs)
         level += 1
@@ -82,10 +93,10 @@ def _long(words: int | None) -> list[Column]:
 
 def _shared(named: DataFrame) -> DataFrame:
     """Rows whose name is not theirs alone, with ``first``: no earlier row has it."""
-    groups = (named.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    groups = (named.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos")).alias("at"))
               .where("n > 1").select("a", "b", "at"))
     return (named.join(groups, ["a", "b"])
-            .select("doc_id", "pos", "a", "b", *named.columns[4:], (F.struct("doc_id", "pos") == F.col("at")).alias("first")))
+            .select("doc_id", "tag", "pos", "a", "b", *named.columns[5:], (F.struct("doc_id", "tag", "pos") == F.col("at")).alias("first")))
 
 
 def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
@@ -94,15 +105,16 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None
     shares with an earlier one; 1 if only single long lines do, 0 if none) and kept_text (lines left, blank
     ones included, joined by a line feed).  Those names are replaced if ``docs``
     has them; other extra columns pass through.  Null and empty texts: no
-    lines, kept_text empty; a document may end up empty.  A null doc_id loses
-    nothing.  If a doc_id is repeated, its rows' lines are taken as interleaved.
+    lines, kept_text empty; a document may end up empty.  A row without doc_id
+    loses nothing and nothing is lost to it.  Rows of one doc_id are judged by
+    their own texts, those that repeat a text alike.
     """
-    gone = (repeated_runs(docs, min_run, long_words=long_words).groupBy("doc_id").agg(
+    gone = (repeated_runs(docs, min_run, long_words=long_words).groupBy("doc_id", "tag").agg(
         F.collect_list("pos").alias("at"), F.collect_list("n_lines").alias("size"))
-        .select(F.col("doc_id").alias("_doc"), F.struct("at", "size").alias("_runs")))
+        .select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.struct("at", "size").alias("_runs")))
     prepare(docs.sparkSession)
     d = docs.drop("n_lines", "n_removed", "longest_run", "kept_text")
-    both = d.join(gone, d["doc_id"].cast("long") == F.col("_doc"), "left")
+    both = d.join(gone, (d["doc_id"].cast("long") == F.col("_doc")) & (_tag(d["text"]) == F.col("_tag")), "left")
     cut = F.pandas_udf(_cut, "n_lines long, n_removed long, longest_run long, kept_text string")
     done = both.withColumn("_cut", cut(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("_runs.at"), F.col("_runs.size")))
     return done.select(*[F.col(f"`{c}`") for c in d.columns], "_cut.n_lines", "_cut.n_removed", "_cut.longest_run", "_cut.kept_text")

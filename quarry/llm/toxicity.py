@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import mix, pick, prepare, stage
+from quarry.llm.common import mix, pick, prepare, release, stage
 
 LEXICON = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting",
            "dumb", "ugly", "garbage", "jerk", "hate", "vermin")
@@ -67,8 +67,15 @@ class Words:
         at = np.cumsum([1] + [len(x) + 1 for x in low])
         self.text = np.searchsorted(at, start, "right") - 1
         self.n = len(texts)
-        marks = np.concatenate([[0], np.cumsum(a == 33)])
-        shouted = np.array([sum(map(str.isupper, t)) if t.isupper() or t[:1].isupper() and t[1:2].isupper() else 0 for t in texts])
+        marks = np.concatenate([[0], np.cumsum(a == 33, dtype=np.int32)])
+        # capitals are the bytes that lower-casing changes, where it keeps the length
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        odd = {i: sum(map(str.isupper, texts[i])) for i, (x, y) in enumerate(zip(raw, low)) if len(x) != len(y)}
+        changed = np.frombuffer(b"\n" + b"\n".join(y if i in odd else x for i, (x, y) in enumerate(zip(raw, low))) + b"\n" + bytes(LONGEST), np.uint8) != a
+        capitals = np.concatenate([[0], np.cumsum(changed, dtype=np.int32)])
+        shouted = capitals[at[1:] - 1] - capitals[at[:-1]]
+        for i, n in odd.items():
+            shouted[i] += n
         size = np.diff(at) - 1
         bangs = marks[at[1:] - 1] - marks[at[:-1]]
         self.patterns = np.stack([2 * shouted > np.maximum(size, 20), (bangs > 3) & (bangs * 60 > size), size < 200])
@@ -104,10 +111,22 @@ class Words:
         return p // len(wanted), p % len(wanted)
 
 
+def _small(batches: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Batches of about ``most`` characters of text; what a task held on to
+    goes back to the system when it ends, as workers are used again."""
+    for b in batches:
+        size = b["text"].str.len().cumsum().to_numpy()
+        cuts = np.searchsorted(size, np.arange(most, int(size[-1]) if len(size) else 0, most), "right")
+        for s, e in zip([0, *cuts], [*cuts, len(b)]):
+            if e > s:
+                yield b.iloc[s:e].reset_index(drop=True)
+    release()
+
+
 # ------------------------------------------------------------------- voters
 
 def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in _small(batches):
         text, key = Words(list(b["text"])).beginnings()
         keys, i = np.unique(key, return_inverse=True)
         toxic = b["toxic"].to_numpy()[text] == 1
@@ -276,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     voters = Voters(find_stems(labelled))
 
     def vote(batches):
-        for b in batches:
+        for b in _small(batches):
             yield pd.DataFrame({"doc_id": b["doc_id"], "mask": voters.masks(Words(list(b["text"])))})
 
     masks = d.mapInPandas(vote, "doc_id long, mask long").join(F.broadcast(sample), "doc_id", "left")
@@ -284,23 +303,26 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     model = fit_label_model(votes, voters.count, voters.finding)
 
     def posteriors(batches):
-        for b in batches:
+        for b in _small(batches):
             words = Words(list(b["text"]))
             text, key = words.beginnings()
             f = (mix(key) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int32)
             order = np.argsort(text, kind="stable")
             cuts = np.cumsum(np.bincount(text, minlength=words.n))[:-1]
             yield pd.DataFrame({"p": model.posterior(_fired(voters.masks(words), voters.count)),
-                                "f": [np.unique(x) for x in np.split(f[order], cuts)]})
-
-    some = stage(labelled.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_trained), "trained")
-    rows = some.mapInPandas(posteriors, "p double, f array<int>").collect()  # max_trained rows
-    features, target = [np.array(r["f"], np.int32) for r in rows], np.array([r["p"] for r in rows])
+                                "f": [np.unique(x).tobytes() for x in np.split(f[order], cuts)]})
+
+    # rows are chosen by their numbers, without their texts
+    labelled = labelled.withColumn("key", F.xxhash64("doc_id", F.lit(1)))
+    last = labelled.select("key").orderBy("key").limit(max_trained).agg(F.max("key")).first()[0]
+    some = stage(labelled.where(F.col("key") <= F.lit(last)).drop("key").limit(max_trained), "trained")
+    rows = some.mapInPandas(posteriors, "p double, f binary").collect()  # max_trained rows
+    features, target = [np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["p"] for r in rows])
     use = telling(features, target)
     weights, bias = train_linear([f[use[f]] for f in features], target)
 
     def named(batches):
-        for b in batches:
+        for b in _small(batches):
             _, key = Words(list(b["text"])).beginnings()
             w = weights[(mix(key) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int32)]
             yield pd.DataFrame({"k": key[w != 0].view(np.int64), "w": w[w != 0]})
@@ -315,9 +337,11 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         wanted, w, b = linear.value
         for t in texts:
-            text, i = Words(list(t)).hits(wanted)
-            logit = b + np.bincount(text, w[i] if len(i) else None, minlength=len(t))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+            logits = [np.zeros(0)]
+            for part in _small(iter([pd.DataFrame({"text": t})])):
+                text, i = Words(list(part["text"])).hits(wanted)
+                logits.append(b + np.bincount(text, w[i] if len(i) else None, minlength=len(part)))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(logits), -30, 30))))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", judge(text))

@@ -31,10 +31,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(u, pattern, 1)), F.regexp_extract(u, pattern, 2)
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of the rule strings that could fit, longest first."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """Array of the rule strings that could fit, longest first: paths of the
+    rules' lengths, hosts of as many labels as a rule has at most."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)),
                         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths), reverse=True)])
     paths = F.filter(paths, lambda p: p.isNotNull())
@@ -147,9 +148,10 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     spark = pages.sparkSession
     prepare(spark)
     lengths = sorted({len(p) for _, p, _ in rules}) or [1]
+    most = max((h.count(".") + 1 for h, _, _ in rules), default=1)
     p = pick(pages, page_id="long", url="string")
     host, path = host_path(F.col("url"))
-    p = p.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    p = p.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, most))
     universe = stage(p.select(F.explode("keys").alias("key")).distinct().select(F.xxhash64("key").alias("h")).distinct(), "universe")
     cascades = {}
     for verdict in ("allow", "block"):

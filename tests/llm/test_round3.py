@@ -201,3 +201,38 @@ def test_whiten_odd_rows(spark):
     rows = [(None, [0.5, 1.0]), (7, [1.0, 0.25]), (7, [1.0, 0.25]), (8, [1.0, 2.0, 3.0])]
     got = whiten.whiten(vectors(spark, rows)).collect()
     assert sorted((r.vec_id or 0, r.component, r.n) for r in got) == [(0, 1, 2), (7, 1, 2), (7, 1, 2)]
+
+
+# ------------------------------------------------------------- earlier operators
+
+def test_lines_of_a_repeated_id(spark):
+    """Rows of one id with different texts keep their own lines."""
+    from quarry.llm import lines
+    rows = [(0, "b\nb2\nb"), (1, "x\nb\nc\nd\ne"), (1, "x2\nb2\nc2\nd2\ne2"), (None, "p\nq"), (2, "p\nq"), (3, "A\nB\nA\nB\nu"), (3, "k\nl"), (3, "k\nl"), (4, "k\nl\nm")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, tag int, pos int")
+    got = sorted((str(r.doc_id), r.text, r.kept_text) for r in lines.dedup_lines(frame).collect())
+    kept = {"A\nB\nA\nB\nu": "A\nB\nu", "k\nl\nm": "m"}
+    assert got == sorted((str(i), t, kept.get(t, t)) for i, t in rows)
+
+
+def test_overlaps_of_few_words(spark):
+    """A text of one word against an item of that word: a hit an alignment."""
+    from quarry.llm import decontam
+    docs_ = spark.createDataFrame([(1, "la " * 900), (2, "do " * 50 + "la " * 5), (3, "la do " * 300)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "la " * 200), (8, "la do " * 40)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.overlaps(docs_, bench).collect()}
+    assert got[1, 7] == 200 and got[3, 8] == 80 and (2, 7) not in got
+
+
+def test_hosts_of_many_labels(spark):
+    from quarry.llm import urlfilter
+    rows = [(1, "http://" + "a." * 4000 + "net/es/x"), (2, "http://" + "." * 3000 + "com/"), (3, "http://a.b.c.d.www.example.com/en/")]
+    frame = spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(frame).collect()}
+    assert got == {1: ("net/es/", "block"), 2: ("com/", "allow"), 3: ("www.example.com/en/", "allow")}
+
+
+def test_capitals_count_in_the_whole_text():
+    from quarry.llm import toxicity
+    texts_ = ["quiet start, " + "LOUD ÉND " * 30, "Only The First Letters Of Words " * 5, "İ" * 50, "", "x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    assert list(toxicity.Words(texts_).patterns[0]) == [True, False, True, False, False, True]

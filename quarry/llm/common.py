@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -62,12 +63,23 @@ def running_start(df: DataFrame, order: list[str], amount: str, out: str = "star
             .withColumn(out, F.col(out) + F.col("_running_base")).drop(p, "_running_base"))
 
 
-def release() -> None:
-    """Give memory that a Python worker no longer uses back to the system."""
+_HELD: list[Callable[[], None]] = []
+
+
+def held(drop: Callable[[], None]) -> None:
+    """``drop`` lets go of what a module remembers from task to task."""
+    _HELD.append(drop)
+
+
+def release(all_: bool = True) -> None:
+    """Give memory that a Python worker no longer uses back to the system, with
+    ``all_`` also what modules remember: workers are used again by other stages."""
     import ctypes
 
     import pyarrow as pa
 
+    for drop in _HELD if all_ else ():
+        drop()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -75,6 +87,15 @@ def release() -> None:
         pass
 
 
+def tidy(run):
+    """``run``, a function of ``mapInPandas``, between two releases."""
+    def whole(batches):
+        release()
+        yield from run(batches)
+        release()
+    return whole
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

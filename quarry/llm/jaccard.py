@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from quarry.llm.common import mix, pick, prepare, span_hashes, stage
+from quarry.llm.common import mix, pick, prepare, span_hashes, stage, tidy
 from quarry.llm.sketch import SCHEMA, Sketch
 from quarry.llm.wordtext import WordArrays, slices
 
@@ -71,7 +71,7 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
             for ids, texts in slices(b["doc_id"], b["text"]):
                 yield sketch.partial(shingle_sets(ids, texts, gram)[1])
 
-    bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(count, SCHEMA), (2, COMMON)))
+    bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(tidy(count), SCHEMA), (2, COMMON)))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,7 +98,7 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": n, "a": total.view(np.int64), "b": second.view(np.int64),
                                     "prefix": prefix, "members": members})
 
-    return docs.mapInPandas(emit, "doc_id long, n long, a long, b long, prefix array<long>, members binary")
+    return docs.mapInPandas(tidy(emit), "doc_id long, n long, a long, b long, prefix array<long>, members binary")
 
 
 def _met_twice(chosen: DataFrame):
@@ -119,7 +119,7 @@ def _met_twice(chosen: DataFrame):
         if n:
             yield sketch.partial(np.concatenate(held))
 
-    bits = spark.sparkContext.broadcast(sketch.merge(chosen.select("prefix").mapInPandas(count, SCHEMA))[0])
+    bits = spark.sparkContext.broadcast(sketch.merge(chosen.select("prefix").mapInPandas(tidy(count), SCHEMA))[0])
 
     def test(t: pd.Series) -> pd.Series:
         return pd.Series(sketch.reaches(bits.value, t.to_numpy(np.int64).view(np.uint64)))

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import pick, running_start, prepare, stage
+from quarry.llm.common import held, pick, prepare, release, running_start, stage
 
 LENGTH = 1024
 DIMS, BITS, HASHED = 3, 10, 509
@@ -80,6 +80,9 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+held(ids_of.cache_clear)
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of integer points (n, d) below 2**bits."""
     x = points.astype(np.int64).T.copy()
@@ -125,6 +128,7 @@ def _tokenise(path: str):
             spot = (np.tanh(vectors @ flat / 2) + 1) / 2 * ((1 << BITS) - 1)
             yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "place": hilbert(spot, BITS),
                                 "n": np.array(counts, np.int64), "ids": blobs, "width": np.full(len(b), ids_for.type.itemsize, np.int32)})
+        release(all_=False)
     return run
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import mix
+from quarry.llm.common import mix, tidy
 
 MAX_LOG2 = 28  # cells of a row: a bit map of at most 32 MB
 _SALT = 0x9FB21C651E98DF25
@@ -65,7 +65,7 @@ class Sketch:
 
         n = (self.depth << (self.log2 - self.block))
         rows = (partials.repartition(min(n, 64), "block").sortWithinPartitions("block")
-                .mapInPandas(run, "block int, bits binary").collect())  # a fixed number of bytes
+                .mapInPandas(tidy(run), "block int, bits binary").collect())  # a fixed number of bytes
         out = [np.zeros((n, size // 8), np.uint8) for _ in thresholds]
         for r in rows:
             for o, bits in zip(out, np.frombuffer(r["bits"], np.uint8).reshape(len(thresholds), -1)):

@@ -114,6 +114,7 @@ class Words:
 def _small(batches: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Batches of about ``most`` characters of text; what a task held on to
     goes back to the system when it ends, as workers are used again."""
+    release()
     for b in batches:
         size = b["text"].str.len().cumsum().to_numpy()
         cuts = np.searchsorted(size, np.arange(most, int(size[-1]) if len(size) else 0, most), "right")

@@ -23,7 +23,7 @@ from quarry.llm.common import held, pick, prepare, release, running_start, stage
 
 LENGTH = 1024
 DIMS, BITS, HASHED = 3, 10, 509
-CACHE = 400_000  # pre-tokens whose ids a worker remembers
+CACHE = 200_000  # pre-tokens whose ids a worker remembers
 
 # letters, numbers and the rest of Latin text, as the vocabulary's own pattern
 # classes them; anything else goes to the tokenizer itself
@@ -59,6 +59,8 @@ class Ids:
         self.special = special
         self.words = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        del spec, ranks
+        release(all_=False)
 
     def _new(self, word: str) -> bytes:
         if len(word) > 200:  # the cost of merging grows faster than the word

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
@@ -59,9 +60,10 @@ def _least(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
+def _digests(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, Broadcast]:
     """doc_id, n, and for sets that can have a partner: two digests of the set,
-    ``prefix`` and ``members``, its shingles that may be in other documents."""
+    ``prefix`` and ``members``, its shingles that may be in other documents.
+    And the broadcast that this needs, to be destroyed once it is written."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = Sketch(total / 6, depth=1)
@@ -71,7 +73,7 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
             for ids, texts in slices(b["doc_id"], b["text"]):
                 yield sketch.partial(shingle_sets(ids, texts, gram)[1])
 
-    bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(tidy(count), SCHEMA), (2, COMMON)))
+    bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(tidy(count), SCHEMA), (2, COMMON), staged=True))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,7 +100,7 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": n, "a": total.view(np.int64), "b": second.view(np.int64),
                                     "prefix": prefix, "members": members})
 
-    return docs.mapInPandas(tidy(emit), "doc_id long, n long, a long, b long, prefix array<long>, members binary")
+    return docs.mapInPandas(tidy(emit), "doc_id long, n long, a long, b long, prefix array<long>, members binary"), bits
 
 
 def _met_twice(chosen: DataFrame):
@@ -119,7 +121,7 @@ def _met_twice(chosen: DataFrame):
         if n:
             yield sketch.partial(np.concatenate(held))
 
-    bits = spark.sparkContext.broadcast(sketch.merge(chosen.select("prefix").mapInPandas(tidy(count), SCHEMA))[0])
+    bits = spark.sparkContext.broadcast(sketch.merge(chosen.select("prefix").mapInPandas(tidy(count), SCHEMA), staged=True)[0])
 
     def test(t: pd.Series) -> pd.Series:
         return pd.Series(sketch.reaches(bits.value, t.to_numpy(np.int64).view(np.uint64)))
@@ -197,7 +199,9 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     prepare(spark)
     d = pick(docs, doc_id="long", text="string")
-    sets = stage(_digests(d.where("doc_id is not null"), gram, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    digests, bits = _digests(d.where("doc_id is not null"), gram, percent)
+    sets = stage(digests.withColumn("row", F.monotonically_increasing_id()), "sets")
+    bits.destroy()
     may = sets.where("prefix is not null")
     classes = stage(may.groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("f")).select("a", "b", "n", "f.rep", "f.row"), "classes")
     # one doc_id may be given twice, with two texts: its sets are the classes of one document

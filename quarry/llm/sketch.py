@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import mix, tidy
+from quarry.llm.common import mix, stage, tidy
 
 MAX_LOG2 = 28  # cells of a row: a bit map of at most 32 MB
 _SALT = 0x9FB21C651E98DF25
@@ -45,8 +45,10 @@ class Sketch:
                 blobs.append((b"2" if small else b"4") + steps.astype("<u2" if small else "<u4").tobytes())
         return pd.DataFrame({"block": np.array(blocks, np.int32), "cells": blobs})
 
-    def merge(self, partials: DataFrame, thresholds: tuple[int, ...] = (2,)) -> list[np.ndarray]:
-        """For each threshold one bit per cell (all rows, one after the other)."""
+    def merge(self, partials: DataFrame, thresholds: tuple[int, ...] = (2,), staged: bool = False) -> list[np.ndarray]:
+        """For each threshold one bit per cell (all rows, one after the other).
+        With ``staged`` the driver reads them from shared files part by part and
+        never holds them twice."""
         size = 1 << self.block
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +66,9 @@ class Sketch:
                 yield done()
 
         n = (self.depth << (self.log2 - self.block))
-        rows = (partials.repartition(min(n, 64), "block").sortWithinPartitions("block")
-                .mapInPandas(tidy(run), "block int, bits binary").collect())  # a fixed number of bytes
+        merged = (partials.repartition(min(n, 64), "block").sortWithinPartitions("block")
+                  .mapInPandas(tidy(run), "block int, bits binary"))  # a fixed number of bytes
+        rows = stage(merged, "sketch").toLocalIterator() if staged else merged.collect()
         out = [np.zeros((n, size // 8), np.uint8) for _ in thresholds]
         for r in rows:
             for o, bits in zip(out, np.frombuffer(r["bits"], np.uint8).reshape(len(thresholds), -1)):

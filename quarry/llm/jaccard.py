@@ -33,6 +33,7 @@ from quarry.llm.sketch import SCHEMA, Sketch
 from quarry.llm.wordtext import WordArrays, slices
 
 GRAM, PERCENT = 5, 75
+BATCH = 1 << 20  # bytes of text worked on at once; a longer text is a batch alone
 COMMON = 32  # shingles in so many documents or more come last in the prefix order
 LEADERS = 1  # rounds in which the lists' members are compared with a leader only
 
@@ -70,14 +71,14 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, Broad
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, texts in slices(b["doc_id"], b["text"]):
+            for ids, texts in slices(b["doc_id"], b["text"], BATCH):
                 yield sketch.partial(shingle_sets(ids, texts, gram)[1])
 
     bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(tidy(count), SCHEMA), (2, COMMON), staged=True))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, texts in slices(b["doc_id"], b["text"]):
+            for ids, texts in slices(b["doc_id"], b["text"], BATCH):
                 doc, h = shingle_sets(ids, texts, gram)
                 n = np.bincount(doc, minlength=len(ids)).astype(np.int64)
                 shared = sketch.reaches(bits.value[0], h)

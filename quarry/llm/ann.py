@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by NN-descent.
 
 Equal vectors are one node.  The first neighbours come from blocks of vectors
-that lie together along random lines; then neighbours of neighbours are joined
-round by round: the neighbours of a node, both ways, are compared with each
-other, and every node keeps its nearest.  Queries walk the finished graph
-greedily, a beam of best nodes at a time.
+that lie on the same sides of random planes; then neighbours of neighbours are
+joined round by round: the neighbours of a node, both ways, are compared with
+each other, and every node keeps its nearest, until hardly an edge changes.
+Rounds and walks move vectors as one byte a component; the distances that count
+are taken from the doubles.  Queries walk the finished graph greedily, a beam of
+best nodes at a time, until no node of the beam is left to leave.
 """
 
 from __future__ import annotations
@@ -20,35 +22,50 @@ from pyspark.sql.window import Window
 from quarry.llm.common import pick, prepare, running_start, stage
 
 NEIGHBOURS = 40  # kept per node
-ROUNDS = 5
-LINES, BLOCK = 3, 48
-BEAM, HOPS = 100, 5
+STILL = 0.02  # share of edges that may change in the last round
+LINES, PLANES, BLOCK = 4, 20, 256
+BEAM, LEAVE = 160, 40  # nodes remembered by a walk, and left in one hop
 
 
 def _prepared(vectors: DataFrame, lines: int) -> DataFrame:
-    """id, a, b (digest of the vector), vec (doubles), one column per line; rows that take part."""
+    """id, a, b (digest of the vector), vec (doubles), code and scale (one signed
+    byte a component), one key per line; rows that take part."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}  # for each length of vectors, alike in all tasks
         for b in batches:
-            ids, vecs = [], []
+            ids, vecs, keys, codes, scales = [], [], [], [], []
             for i, v in zip(b["id"], b["vec"]):
                 x = np.array([np.nan if c is None else c for c in v], np.float64)
-                if len(x) and np.isfinite(x).all() and x.any():
-                    ids.append(i)
-                    vecs.append(x + 0.0)  # -0.0 becomes 0.0
+                if not (len(x) and np.isfinite(x).all() and x.any()):
+                    continue
+                if len(x) not in planes:
+                    if len(planes) >= 16:
+                        planes.clear()
+                    g = np.random.default_rng(len(x)).normal(size=(lines, PLANES, len(x)))
+                    # an offset that all components share moves no vector across
+                    planes[len(x)] = g - g.mean(axis=2, keepdims=True) if len(x) > 1 else g
+                ids.append(i)
+                vecs.append(x + 0.0)  # -0.0 becomes 0.0
+                scales.append(np.abs(x).max())
+                unit = x / scales[-1]
+                codes.append(np.rint(unit * 127).astype(np.int8).tobytes())
+                keys.append(((planes[len(x)] @ unit) > 0) @ (1 << np.arange(PLANES - 1, -1, -1)))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in vecs]
-            # a line for each length of vectors, alike in all tasks
-            keys = [np.random.default_rng(len(x)).normal(size=(lines, len(x))) @ x for x in vecs]
             yield pd.DataFrame({"id": np.array(ids, np.int64), "a": [int.from_bytes(d[:8], "big", signed=True) for d in digests],
                                 "b": [int.from_bytes(d[8:], "big", signed=True) for d in digests], "size": [len(x) for x in vecs],
-                                "vec": [x.tobytes() for x in vecs]} | {f"line{k}": np.array([y[k] for y in keys], np.float64) for k in range(lines)})
-    schema = "id long, a long, b long, size int, vec binary" + "".join(f", line{k} double" for k in range(lines))
+                                "vec": [x.tobytes() for x in vecs], "code": codes, "scale": np.array(scales, np.float64)}
+                               | {f"line{k}": np.array([y[k] for y in keys], np.int64) for k in range(lines)})
+    schema = "id long, a long, b long, size int, vec binary, code binary, scale double" + "".join(f", line{k} long" for k in range(lines))
     return vectors.where("id is not null and vec is not null").mapInPandas(run, schema)
 
 
-def _square(x: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of ``x``."""
-    n = (x * x).sum(axis=1)
-    d = np.maximum(n[:, None] + n[None, :] - 2 * x @ x.T, 0)
+def _square(codes: list[bytes], scales: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, from the codes."""
+    x = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+    dot = (x @ x.T).astype(np.float64)
+    step = np.asarray(scales, np.float64) / 127
+    n = np.diag(dot) * step * step
+    d = np.maximum(n[:, None] + n[None, :] - 2 * dot * step[:, None] * step[None, :], 0)
     np.fill_diagonal(d, np.inf)
     return d
 
@@ -59,13 +76,13 @@ def _met(keep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             src, dst, dist = [], [], []
-            for ids, vecs, worst, new in zip(b["ids"], b["vecs"], b["worst"], b["new"]):
+            for ids, codes, scales, worst, new in zip(b["ids"], b["codes"], b["scales"], b["worst"], b["new"]):
                 ids = np.asarray(ids, np.int64)
                 if len(ids) < 2:
                     continue
-                d = _square(np.frombuffer(b"".join(vecs), np.float64).reshape(len(ids), -1))
+                d = _square(codes, scales)
                 new = np.asarray(new, bool)
-                d[~(new[:, None] | new[None, :])] = np.inf
+                d[np.ix_(~new, ~new)] = np.inf
                 d[d >= np.asarray(worst, np.float64)[:, None]] = np.inf
                 k = min(keep, len(ids) - 1)
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -86,57 +103,82 @@ def _best(edges: DataFrame, by: str, keep: int) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
 
 
-def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, lines: int = LINES) -> DataFrame:
-    """src, dst, d (squared distance), new: up to ``neighbours`` edges of each of
-    ``nodes`` (id, size, vec, line0, ...); vectors of one length only meet."""
+def _rows(members: DataFrame) -> DataFrame:
+    return members.select(*[F.col(f"m.{c}").alias(a) for c, a in (("u", "ids"), ("code", "codes"), ("scale", "scales"), ("worst", "worst"), ("new", "new"))])
+
+
+def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, still: float = STILL, lines: int = LINES) -> DataFrame:
+    """src, dst, d (squared distance of the codes), new: up to ``neighbours``
+    edges of each of ``nodes`` (id, size, code, scale, line0, ...); vectors of one
+    length only meet.  Rounds go on while more than the share ``still`` of the
+    edges changes."""
     found = None
     for k in range(lines):
-        spots = running_start(nodes.select("id", "size", "vec", f"line{k}", F.lit(1).alias("one")), ["size", f"line{k}", "id"], "one", "at")
-        blocks = spots.groupBy("size", F.expr(f"at div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("m"))
-        rows = blocks.select(F.col("m.id").alias("ids"), F.col("m.vec").alias("vecs"), F.transform("m", lambda x: F.lit(float("inf"))).alias("worst"),
-                             F.transform("m", lambda x: F.lit(True)).alias("new"))
-        pairs = rows.mapInPandas(_met(neighbours), "src long, dst long, d double")
+        spots = running_start(nodes.select("id", "size", "code", "scale", f"line{k}", F.lit(1).alias("one")), ["size", f"line{k}", "id"], "one", "at")
+        blocks = spots.groupBy("size", F.expr(f"at div {BLOCK}").alias("block")).agg(F.collect_list(
+            F.struct(F.col("id").alias("u"), "code", "scale", F.lit(float("inf")).alias("worst"), F.lit(True).alias("new"))).alias("m"))
+        pairs = _rows(blocks).mapInPandas(_met(neighbours // 2), "src long, dst long, d double")
         found = pairs if found is None else found.unionByName(pairs)
-    graph = stage(_best(found.groupBy("src", "dst").agg(F.min("d").alias("d")), "src", neighbours).withColumn("new", F.lit(True)), "graph")
-    for _ in range(rounds):
+    # one shuffle serves the grouping and the ranking
+    graph = stage(_best(found.repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d")), "src", neighbours).withColumn("new", F.lit(True)), "graph")
+    while True:
         # the nearest that point here count as neighbours too
         back = _best(graph, "dst", neighbours).select(F.col("dst").alias("v"), F.col("src").alias("u"), "new")
-        around = graph.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new").unionByName(back).groupBy("v", "u").agg(F.max("new").alias("new"))
+        around = graph.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new").unionByName(back)
+        around = around.repartition("v").groupBy("v", "u").agg(F.max("new").alias("new"))
+        # where nothing is new nothing can be found
+        around = around.withColumn("any", F.max("new").over(Window.partitionBy("v"))).where("any").drop("any")
         worst = graph.groupBy("src").agg(F.max("d").alias("worst"), F.count("*").alias("n")).select(
             F.col("src").alias("u"), F.when(F.col("n") >= neighbours, F.col("worst")).otherwise(F.lit(float("inf"))).alias("worst"))
-        known = nodes.select(F.col("id").alias("u"), "vec").join(worst, "u")
-        met = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "vec", "worst", "new")).alias("m")).where(F.exists("m", lambda x: x["new"]))
-        rows = met.select(F.col("m.u").alias("ids"), F.col("m.vec").alias("vecs"), F.col("m.worst").alias("worst"), F.col("m.new").alias("new"))
-        pairs = rows.mapInPandas(_met(neighbours // 2), "src long, dst long, d double").withColumn("new", F.lit(True))
-        both = graph.withColumn("new", F.lit(False)).unionByName(pairs).groupBy("src", "dst").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        known = nodes.select(F.col("id").alias("u"), "code", "scale").join(worst, "u")
+        met = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "code", "scale", "worst", "new")).alias("m"))
+        pairs = _rows(met).mapInPandas(_met(max(1, neighbours // 5)), "src long, dst long, d double").withColumn("new", F.lit(True))
+        both = graph.withColumn("new", F.lit(False)).unionByName(pairs).repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         graph = stage(_best(both, "src", neighbours), "graph")
-    return graph
+        changed, edges = graph.agg(F.count_if("new"), F.count("*")).first()
+        if changed <= still * edges:
+            return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, beam: int = BEAM, leave: int = LEAVE) -> DataFrame:
     """q, u, d: the best nodes met on the way from each of ``starts`` (q, a node
     itself), itself among them.  Each hop visits the neighbours, both ways, of
-    every node in the beam that has not been left yet."""
-    near = stage(graph.select("src", "dst", "d").unionByName(
-        _best(graph.select("src", "dst", "d"), "dst", NEIGHBOURS).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d"))
-        .select(F.col("src").alias("u"), F.col("dst").alias("to")).distinct(), "near")
-    vecs = nodes.select("id", "vec")
+    the ``leave`` nearest nodes in the beam that have not been left yet; the
+    walk ends when all have.  d is the distance in doubles."""
+    edges = graph.select("src", "dst", "d")
+    near = stage(edges.unionByName(_best(edges, "dst", NEIGHBOURS).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d"))
+                 .select(F.col("src").alias("u"), F.col("dst").alias("to")).distinct(), "near")
+
+    def apart(x: pd.Series, sx: pd.Series, y: pd.Series, sy: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        size = np.array([len(p) for p in x])
+        out = np.zeros(len(x))
+        for n in np.unique(size):  # vectors of one length meet only
+            at = np.flatnonzero(size == n)
+            p, q = (np.frombuffer(b"".join(c.iloc[at]), np.int8).reshape(len(at), n) * (s.to_numpy()[at, None] / 127) for c, s in ((x, sx), (y, sy)))
+            out[at] = ((p - q) ** 2).sum(axis=1)
+        return pd.Series(out)
 
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([float(np.sqrt(((np.frombuffer(p, np.float64) - np.frombuffer(q, np.float64)) ** 2).sum())) for p, q in zip(x, y)], dtype="float64")
 
+    about = F.pandas_udf(apart, "double")
     measure = F.pandas_udf(distance, "double")
-    own = vecs.withColumnsRenamed({"id": "q", "vec": "qvec"}).join(starts, "q")
-    at = starts.select("q", F.col("q").alias("u"), F.lit(0.0).alias("d"), F.lit(False).alias("left"))
-    for _ in range(hops):
-        step = at.where("not left").join(near, "u").select("q", F.col("to").alias("u")).distinct()
+    codes = nodes.select(F.col("id").alias("u"), "code", "scale")
+    own = codes.join(starts.select(F.col("q").alias("u")), "u").toDF("q", "qcode", "qscale")
+    at = stage(starts.select("q", F.col("q").alias("u"), F.lit(0.0).alias("d"), F.lit(False).alias("left"), F.lit(True).alias("go")), "beam")
+    while not at.where("go").isEmpty():
+        step = at.where("go").join(near, "u").select("q", F.col("to").alias("u")).distinct()
         step = step.join(at.select("q", "u"), ["q", "u"], "left_anti")
-        met = step.join(vecs.withColumnsRenamed({"id": "u", "vec": "uvec"}), "u").join(own, "q").select(
-            "q", "u", measure("qvec", "uvec").alias("d"), F.lit(False).alias("left"))
-        seen = at.withColumn("left", F.lit(True)).unionByName(met)
-        w = Window.partitionBy("q").orderBy("d", "u")
-        at = stage(seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= beam).drop("_r"), "beam")
-    return at.select("q", "u", "d")
+        met = step.join(codes, "u").join(own, "q").select("q", "u", about("qcode", "qscale", "code", "scale").alias("d"), F.lit(False).alias("left"))
+        seen = at.select("q", "u", "d", (F.col("left") | F.col("go")).alias("left")).unionByName(met)
+        best = seen.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("_r") <= beam).drop("_r")
+        turn = F.row_number().over(Window.partitionBy("q", "left").orderBy("d", "u"))
+        at = stage(best.withColumn("go", ~F.col("left") & (turn <= leave)), "beam")
+    vecs = nodes.select(F.col("id").alias("u"), "vec")
+    mine = vecs.join(starts.select(F.col("q").alias("u")), "u").toDF("q", "qvec")
+    return at.select("q", "u").join(vecs, "u").join(mine, "q").select("q", "u", measure("qvec", "vec").alias("d"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:

@@ -151,6 +151,23 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 3")).count() == 2
 
 
+def test_neighbours_recall(spark):
+    """Far more vectors than a node or a walk remembers; two lengths that never meet."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(3000, 32)) + 5
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(10_000 + 100 * i, [float(i + 1), 1.0]) for i in range(4)]
+    got = {}
+    for row in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    assert got[10_000] == {10_100, 10_200, 10_300}
+    hit = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 300
+
+
 def test_hilbert_is_a_curve():
     n = 8
     p = np.stack(np.meshgrid(*[np.arange(n)] * 3), -1).reshape(-1, 3)

@@ -26,13 +26,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
-    ends there, lost executors lose nothing, and later reads prune columns."""
-    path = scratch(df.sparkSession, name)
+    ends there, lost executors lose nothing, and later reads prune columns.
+    With ``clean`` the shuffle files that the write made are deleted at its end
+    and not at some later collection of the driver's memory."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    was = spark.conf.get(_CLEAN)
+    try:
+        spark.conf.set(_CLEAN, str(clean or was == "true").lower())
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    return spark.read.schema(schema).parquet(path)
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Sets are the distinct 5-word shingles of documents; two link when they share 75
-% of their union.  Equal sets become one.  A sketch tells which shingles are
-surely in one document only: a set with too many of those has no partner, the
-others are indexed under a prefix of their rarest shingles, so that sets that
-link meet in some index list.
+% of their union.  Equal sets become one.  Shingles are counted shard by shard
+(``shards.py``), and each batch of documents is told which of its own are surely
+in one document only: a set with too many of those has no partner, the others
+are indexed under a prefix of their rarest shingles, so that sets that link meet
+in some index list.
 
 Index level: an entry knows its shingle's position in its set's order, and what
 follows bounds the overlap of two sets that first meet there.  A list is cut
@@ -24,23 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from quarry.llm.common import mix, pick, prepare, span_hashes, stage, tidy
+from quarry.llm.common import mix, pick, prepare, release, span_hashes, stage, tidy
+from quarry.llm.shards import PLACES, Shards
 from quarry.llm.sketch import SCHEMA, Sketch
-from quarry.llm.wordtext import WordArrays, slices
+from quarry.llm.wordtext import WordArrays
 
 GRAM, PERCENT = 5, 75
-BATCH = 1 << 20  # bytes of text worked on at once; a longer text is a batch alone
+BATCH = 1 << 20  # bytes of text worked on at once, about
 COMMON = 32  # shingles in so many documents or more come last in the prefix order
 LEADERS = 1  # rounds in which the lists' members are compared with a leader only
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shingle_sets(ids: list, texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, shingle), sorted, each once."""
     w = WordArrays([t.translate(_LOWER) for t in texts])
     size = np.diff(w.first)
@@ -61,47 +62,54 @@ def _least(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _digests(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, Broadcast]:
-    """doc_id, n, and for sets that can have a partner: two digests of the set,
-    ``prefix`` and ``members``, its shingles that may be in other documents.
-    And the broadcast that this needs, to be destroyed once it is written."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = Sketch(total / 6, depth=1)
+def _batches(docs: DataFrame, total: int) -> DataFrame:
+    """``docs`` dealt over numbered batches of about ``BATCH`` bytes (and a longer
+    text now and then), written, so that a batch holds the same rows whenever it is read."""
+    n = max(1, -(-total // BATCH))
+    return stage(docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))), "batches")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for ids, texts in slices(b["doc_id"], b["text"], BATCH):
-                yield sketch.partial(shingle_sets(ids, texts, gram)[1])
 
-    bits = spark.sparkContext.broadcast(sketch.merge(docs.mapInPandas(tidy(count), SCHEMA), (2, COMMON), staged=True))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for ids, texts in slices(b["doc_id"], b["text"], BATCH):
-                doc, h = shingle_sets(ids, texts, gram)
-                n = np.bincount(doc, minlength=len(ids)).astype(np.int64)
-                shared = sketch.reaches(bits.value[0], h)
-                common = sketch.reaches(bits.value[1], h)
-                m = np.bincount(doc[shared], minlength=len(ids)).astype(np.int64)
-                may = (n > 0) & (m >= _least(n, percent))
-                total, second = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-                np.add.at(total, doc, mix(h))
-                np.add.at(second, doc, mix(h ^ np.uint64(0xA0761D6478BD642F)))
-                o = np.lexsort((h, common, doc))
-                o = o[shared[o]]
-                cuts = np.concatenate([[0], np.cumsum(m)])
-                # shingles that are surely nobody else's come first in the order and need no index entry
-                take = np.maximum(n - _least(n, percent) + 1 - (n - m), 0)
-                prefix, members = [], []
-                for i in range(len(ids)):
-                    mine = h[o[cuts[i]:cuts[i + 1]]] if may[i] else None
-                    prefix.append(None if mine is None else mine[:take[i]].view(np.int64))
-                    members.append(None if mine is None else np.sort(mine).tobytes())
-                yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": n, "a": total.view(np.int64), "b": second.view(np.int64),
-                                    "prefix": prefix, "members": members})
-
-    return docs.mapInPandas(tidy(emit), "doc_id long, n long, a long, b long, prefix array<long>, members binary"), bits
+def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """doc_id, n, and for sets that can have a partner: two digests of the set,
+    ``prefix`` and ``members``, its shingles that may be in other documents."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = Shards(total / 6)
+    thresholds = (2, COMMON)
+    batches = _batches(docs, total).groupBy("batch")
+
+    def sets_of(f: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+        release(False)
+        texts = [b"" if t is None else t.encode("utf-8", "replace") for t in f["text"]]
+        return list(f["doc_id"]), *shingle_sets(texts, gram)
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        return shards.partial(int(f["batch"].iloc[0]), sets_of(f)[2])
+
+    def emit(f: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        ids, doc, h = sets_of(f)
+        n = np.bincount(doc, minlength=len(ids)).astype(np.int64)
+        shared, common = shards.flags(h, told, len(thresholds))
+        m = np.bincount(doc[shared], minlength=len(ids)).astype(np.int64)
+        may = (n > 0) & (m >= _least(n, percent))
+        total, second = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+        np.add.at(total, doc, mix(h))
+        np.add.at(second, doc, mix(h ^ np.uint64(0xA0761D6478BD642F)))
+        o = np.lexsort((h, common, doc))
+        o = o[shared[o]]
+        cuts = np.concatenate([[0], np.cumsum(m)])
+        # shingles that are surely nobody else's come first in the order and need no index entry
+        take = np.maximum(n - _least(n, percent) + 1 - (n - m), 0)
+        prefix, members = [], []
+        for i in range(len(ids)):
+            mine = h[o[cuts[i]:cuts[i + 1]]] if may[i] else None
+            prefix.append(None if mine is None else mine[:take[i]].view(np.int64))
+            members.append(None if mine is None else np.sort(mine).tobytes())
+        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": n, "a": total.view(np.int64), "b": second.view(np.int64),
+                             "prefix": prefix, "members": members})
+
+    told = shards.answers(batches.applyInPandas(count, PLACES), thresholds)
+    return (batches.cogroup(told.groupBy("batch"))
+            .applyInPandas(emit, "doc_id long, n long, a long, b long, prefix array<long>, members binary"))
 
 
 def _met_twice(chosen: DataFrame):
@@ -200,9 +208,7 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     prepare(spark)
     d = pick(docs, doc_id="long", text="string")
-    digests, bits = _digests(d.where("doc_id is not null"), gram, percent)
-    sets = stage(digests.withColumn("row", F.monotonically_increasing_id()), "sets")
-    bits.destroy()
+    sets = stage(_digests(d.where("doc_id is not null"), gram, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
     may = sets.where("prefix is not null")
     classes = stage(may.groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("f")).select("a", "b", "n", "f.rep", "f.row"), "classes")
     # one doc_id may be given twice, with two texts: its sets are the classes of one document

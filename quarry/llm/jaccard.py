@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from quarry.llm.common import mix, pick, prepare, release, span_hashes, stage, tidy
+from quarry.llm.common import mix, pick, prepare, span_hashes, stage, tidy
 from quarry.llm.shards import PLACES, Shards
 from quarry.llm.sketch import SCHEMA, Sketch
 from quarry.llm.wordtext import WordArrays
@@ -78,7 +78,6 @@ def _digests(docs: DataFrame, gram: int, percent: int) -> DataFrame:
     batches = _batches(docs, total).groupBy("batch")
 
     def sets_of(f: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-        release(False)
         texts = [b"" if t is None else t.encode("utf-8", "replace") for t in f["text"]]
         return list(f["doc_id"]), *shingle_sets(texts, gram)
 
@@ -208,27 +207,28 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     prepare(spark)
     d = pick(docs, doc_id="long", text="string")
-    sets = stage(_digests(d.where("doc_id is not null"), gram, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = stage(_digests(d.where("doc_id is not null"), gram, percent).withColumn("row", F.monotonically_increasing_id()), "sets", clean=True)
     may = sets.where("prefix is not null")
-    classes = stage(may.groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("f")).select("a", "b", "n", "f.rep", "f.row"), "classes")
-    # one doc_id may be given twice, with two texts: its sets are the classes of one document
-    owns = may.select("doc_id", "a", "b", "n").join(classes.drop("row"), ["a", "b", "n"]).select("doc_id", "rep").distinct()
-    owns = stage(owns, "owns")
+    classes = stage(may.groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("f")).select("a", "b", "n", "f.rep", "f.row"), "classes", clean=True)
+    # Joins of sets and lists are merge joins at every size: the driver holds no broadcast of them, and shuffles grow in proportion.
+    # One doc_id may be given twice, with two texts: its sets are the classes of one document
+    owns = may.select("doc_id", "a", "b", "n").join(classes.drop("row").hint("merge"), ["a", "b", "n"]).select("doc_id", "rep").distinct()
+    owns = stage(owns, "owns", clean=True)
     # one row of each class, picked by its number: sets are moved once at most
-    chosen = stage(may.join(classes.select("row"), "row", "left_semi")
-                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), F.expr("octet_length(members) div 8").cast("int").alias("m"), "prefix", "members"), "chosen")
+    chosen = stage(may.join(classes.select("row").hint("merge"), "row", "left_semi")
+                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), F.expr("octet_length(members) div 8").cast("int").alias("m"), "prefix", "members"), "chosen", clean=True)
 
     # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
     index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", "m")
     index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at")).where(_met_twice(chosen)("t"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    lists = stage(index.join(alone, "t").select("t", "s", "n", "at"), "lists")
+    lists = stage(index.join(alone.hint("merge"), "t").select("t", "s", "n", "at"), "lists", clean=True)
     links = owns.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     answers = None  # what leaders are known to share: s, leader, o, nl
     label = None
     for round_ in range(LEADERS + 1):
         at = lists.withColumn("id", F.col("s.id"))
-        at = at if label is None else at.join(label.select(F.col("doc_id").alias("id"), "component"), "id", "left")
+        at = at if label is None else at.join(label.select(F.col("doc_id").alias("id"), "component").hint("merge"), "id", "left")
         at = at.withColumn("component", F.coalesce("component", "id") if label is not None else F.col("id"))
         spread = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"),
                                      F.min_by(F.struct("s", "id", "n", "at", "component"), F.struct(F.lit(0), "id", "s")).alias("l0"),
@@ -236,26 +236,26 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         if round_ < LEADERS:
             # the first leader is the smallest id; later ones come from the other end, sets no leader has linked
             lead = spread.select("t", F.col("l0" if round_ == 0 else "l1").alias("l"))
-            pairs = at.join(lead, "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent)
+            pairs = at.join(lead.hint("merge"), "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent)
                                               & _meets(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"), percent))
             pairs = pairs.select("s", "id", "n", F.col("l.s").alias("s2"), F.col("l.id").alias("id2"), F.col("l.n").alias("n2"))
             # one leader for each set and round, the smallest of its lists'
             pairs = (pairs.where("s <> s2").groupBy("s", "id", "n").agg(F.min(F.struct("id2", "s2", "n2")).alias("m"))
                      .select("s", "id", "n", "m.s2", "m.id2", "m.n2"))
         else:
-            pairs = _open_pairs(at.join(spread.select("t"), "t"), percent)
+            pairs = _open_pairs(at.join(spread.select("t").hint("merge"), "t"), percent)
         pairs = pairs.where("s <> s2").dropDuplicates(["s", "s2"])
         if answers is not None:
             if round_ == LEADERS:
                 pairs = _undecided(pairs, answers, percent)
             pairs = pairs.join(answers.select("s", F.col("leader").alias("s2")), ["s", "s2"], "left_anti")
-        pairs = stage(pairs, f"pairs{round_}")
+        pairs = stage(pairs, f"pairs{round_}", clean=True)
         if pairs.isEmpty():
             continue  # a later round may still find some
         x = chosen.select("s", F.col("members").alias("mx"))
         y = (chosen.select(F.col("s").alias("s2"), F.col("members").alias("my"))
-             .join(pairs.select("s2").distinct(), "s2", "left_semi"))  # only sets that are asked for move
-        done = stage(pairs.join(x, "s").join(y, "s2").select("s", "id", "n", F.col("s2").alias("leader"), "id2", F.col("n2").alias("nl"), _overlap("mx", "my").alias("o")), f"answers{round_}")
+             .join(pairs.select("s2").distinct().hint("merge"), "s2", "left_semi"))  # only sets that are asked for move
+        done = stage(pairs.join(x.hint("merge"), "s").join(y.hint("merge"), "s2").select("s", "id", "n", F.col("s2").alias("leader"), "id2", F.col("n2").alias("nl"), _overlap("mx", "my").alias("o")), f"answers{round_}", clean=True)
         answers = done if answers is None else answers.unionByName(done)
         new = done.where(_linked(F.col("o"), F.col("n"), F.col("nl"), percent)).select(F.col("id").alias("x"), F.col("id2").alias("y")).where("x <> y")
         label = components(links.unionByName(new) if label is None else new, label)
@@ -274,7 +274,7 @@ def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     front = m.where(_meets(F.col("n"), F.col("at"), F.col("n"), F.col("at"), percent))
     other = front.select("t", *[F.col(c).alias(f"{c}2") for c in ("s", "id", "n", "at", "component")],
                          F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
-    p = m.join(other, ["t", "block"]).where((F.col("component") != F.col("component2")) & (F.struct("n2", "s2") < F.struct("n", "s"))
+    p = m.join(other.hint("merge"), ["t", "block"]).where((F.col("component") != F.col("component2")) & (F.struct("n2", "s2") < F.struct("n", "s"))
                                             & _fits(F.col("n"), F.col("n2"), percent)
                                             & _meets(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
     return p.select("s", "id", "n", "s2", "id2", "n2")

@@ -21,6 +21,7 @@ from quarry.operators.sample import shuffle_key
 from quarry.session import cut_lineage
 
 ATTEMPTS = 40
+Choices = Column | dict[str, Column]  # a struct of ``choices``, or its columns
 COMPLEXITY, SOURCE = "multi-level aggregation", "synthetic-multilevel"
 FIRST_CTE = ["cells", "by_pair", "sums"]
 SECOND_CTE = ["placed", "marked", "scaled"]
@@ -50,86 +51,100 @@ def _digit(tag: str, key: Column, k: int, *more: Column) -> Column:
     return G.hexd(G._key(tag, key, *more), k)
 
 
-def choices(key: Column) -> dict[str, Column]:
-    """The choices that rows and answer depend on."""
-    d = lambda k: _digit("g", key, k)
-    return {"kind": G._pick(G.KINDS, d(2) % len(G.KINDS)), "n": G._pick([2, 2, 3], d(3) % 3).cast("int"), "three": d(4) < 10,
-            "ng": G._pick([3, 3, 4], d(5) % 3).cast("int"), "ns": G._pick([3, 3, 4], d(6) % 3).cast("int")}
+def choices(key: Column) -> Column:
+    """The choices that rows and answer depend on, as a struct."""
+    def picked(digest: Column) -> Column:
+        d = lambda k: G.digit(digest, k)
+        return F.struct(G._pick(G.KINDS, d(2) % len(G.KINDS)).alias("kind"), G._pick([2, 2, 3], d(3) % 3).cast("int").alias("n"), (d(4) < 10).alias("three"),
+                        G._pick([3, 3, 4], d(5) % 3).cast("int").alias("ng"), G._pick([3, 3, 4], d(6) % 3).cast("int").alias("ns"))
+    return let(F.md5(G._key("g", key)), picked)
 
 
-def fact_rows(key: Column, c: dict[str, Column]) -> Column:
-    """Array of (i, j, qty, price, good): one or two rows a pair, three in four
-    good; i, j are places of group and sub (GEN-2)."""
-    def row(i: Column, j: Column, copy: Column) -> Column:
-        own = lambda k: _digit("r", key, k, i, j, copy)
-        item = G._pick(G.PRICES, _digit("p", key, 1, j) % len(G.PRICES))
-        price = F.when(c["three"], item).otherwise(G._pick(G.PRICES, own(3) % len(G.PRICES)))
-        return F.struct(i.alias("i"), j.alias("j"), (own(1) % 4 + 1).cast("long").alias("qty"), price.cast("long").alias("price"), (own(2) < 12).alias("good"))
+def fact_groups(key: Column, c: Choices) -> Column:
+    """For each group the pairs of its subs, (i, j, rows), and for each pair one
+    or two rows (qty, price, good), three in four good; i, j are places of group
+    and sub (GEN-2).  A digest is made once for all digits that are taken of it."""
+    def row(i: Column, j: Column, copy: Column, items: Column) -> Column:
+        def made(digest: Column) -> Column:
+            price = F.when(c["three"], F.element_at(items, j)).otherwise(G._pick(G.PRICES, G.digit(digest, 3) % len(G.PRICES)))
+            return F.struct((G.digit(digest, 1) % 4 + 1).cast("long").alias("qty"), price.cast("long").alias("price"), (G.digit(digest, 2) < 12).alias("good"))
+        return let(F.md5(G._key("r", key, i, j, copy)), made)
 
-    def pair(i: Column, j: Column) -> Column:
-        two = _digit("c", key, 1, i, j) < 6
-        copies = F.when(two, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        return F.transform(copies, lambda copy: row(i, j, copy))
+    def pair(i: Column, j: Column, items: Column) -> Column:
+        copies = F.when(_digit("c", key, 1, i, j) < 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        return F.struct(i.alias("i"), j.alias("j"), F.transform(copies, lambda copy: row(i, j, copy, items)).alias("rows"))
 
-    return F.flatten(F.flatten(F.transform(F.sequence(F.lit(1), c["ng"]), lambda i: F.transform(
-        F.sequence(F.lit(1), c["ns"]), lambda j: pair(i, j)))))
+    groups, subs = F.sequence(F.lit(1), c["ng"]), F.sequence(F.lit(1), c["ns"])
+    prices = F.when(c["three"], F.transform(subs, lambda j: G._pick(G.PRICES, _digit("p", key, 1, j) % len(G.PRICES))))
+    return let(prices, lambda items: F.transform(groups, lambda i: F.transform(subs, lambda j: pair(i, j, items))))
+
+
+def fact_rows(groups: Column) -> Column:
+    """Array of (i, j, qty, price, good) from ``fact_groups``."""
+    return F.flatten(F.transform(F.flatten(groups), lambda p: F.transform(p["rows"], lambda r: F.struct(
+        p["i"].alias("i"), p["j"].alias("j"), r["qty"].alias("qty"), r["price"].alias("price"), r["good"].alias("good")))))
 
 
 def _total(rows: Column, value: Callable[[Column], Column]) -> Column:
     return F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + value(r))
 
 
-def answer(rows: Column, c: dict[str, Column]) -> Column:
-    """Array of (i, j, total, n_ids, pct, rnk): the result of the gold query,
-    what its kind does not show being null (GEN-3)."""
+def answer_groups(groups: Column, c: Choices) -> Column:
+    """For each group of ``fact_groups`` an array of (i, j, total, n_ids, pct,
+    rnk): the result of the gold query, what its kind does not show being null
+    (GEN-3)."""
     kind = c["kind"]
 
-    def cell(i: Column, j: Column) -> Column:
-        own = F.filter(rows, lambda r: (r["i"] == i) & (r["j"] == j) & r["good"])
-        return F.struct(i.alias("i"), j.alias("j"), _total(own, lambda r: r["qty"] * r["price"]).alias("total"),
-                        # one dimension row a group, but every row of a flat table has its own id
-                        F.when(F.size(own) == 0, 0).when(c["three"], 1).otherwise(F.size(own)).cast("long").alias("n_ids"))
-
-    cells = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), c["ng"]), lambda i: F.transform(
-        F.sequence(F.lit(1), c["ns"]), lambda j: cell(i, j)))), lambda x: x["n_ids"] > 0)
-
-    def ranked(all_: Column, x: Column) -> Column:
-        group = F.filter(all_, lambda y: y["i"] == x["i"])
-        total = _total(group, lambda y: y["total"])
-        rank = (F.size(F.filter(group, lambda y: y["total"] > x["total"])) + 1).cast("long")
-        keep = (kind.isin("share", "rank") | ((kind == "topn") & (rank <= c["n"])) | ((kind == "top1") & (rank == 1))
-                | ((kind == "above_avg") & (x["total"] * F.size(group) > total)))
-        return F.struct(x["i"].alias("i"), x["j"].alias("j"), x["total"].alias("total"), F.when(kind == "topn", x["n_ids"]).alias("n_ids"),
-                        F.when(kind.isin("share", "topn"), F.round(x["total"].cast("double") * 100.0 / total, 4)).alias("pct"),
-                        F.when(kind.isin("topn", "rank"), rank).alias("rnk"), keep.alias("keep"))
-
-    return let(cells, lambda all_: F.filter(F.transform(all_, lambda x: ranked(all_, x)), lambda x: x["keep"]))
-
+    def cell(p: Column) -> Column:
+        return let(F.filter(p["rows"], lambda r: r["good"]), lambda own: F.struct(
+            p["i"].alias("i"), p["j"].alias("j"), _total(own, lambda r: r["qty"] * r["price"]).alias("total"),
+            # one dimension row a group, but every row of a flat table has its own id
+            F.when(F.size(own) == 0, 0).when(c["three"], 1).otherwise(F.size(own)).cast("long").alias("n_ids")))
+
+    def ranked(group: Column, total: Column, x: Column) -> Column:
+        higher = F.aggregate(group, F.lit(1).cast("long"), lambda a, y: a + F.when(y["total"] > x["total"], 1).otherwise(0))
+        return let(higher, lambda rank: F.struct(
+            x["i"].alias("i"), x["j"].alias("j"), x["total"].alias("total"), F.when(kind == "topn", x["n_ids"]).alias("n_ids"),
+            F.when(kind.isin("share", "topn"), F.round(x["total"].cast("double") * 100.0 / total, 4)).alias("pct"),
+            F.when(kind.isin("topn", "rank"), rank).alias("rnk"),
+            (kind.isin("share", "rank") | ((kind == "topn") & (rank <= c["n"])) | ((kind == "top1") & (rank == 1))
+             | ((kind == "above_avg") & (x["total"] * F.size(group) > total))).alias("keep")))
+
+    def shown(group: Column) -> Column:
+        return let(_total(group, lambda y: y["total"]), lambda total: F.filter(
+            F.transform(group, lambda x: ranked(group, total, x)), lambda x: x["keep"]))
+
+    return F.transform(groups, lambda pairs: let(
+        F.filter(F.transform(pairs, cell), lambda x: x["n_ids"] > 0), shown))
+
+
+def passes(answers: Column, c: Choices, unambiguous: bool = False) -> Column:
+    """The checks on ``answer_groups``: not empty; percents within (0, 100];
+    ranks from 1 in every group and no higher than n; whole shares add up to 100.
+    With ``unambiguous`` ranked rows of a group must not tie either."""
+    kind = c["kind"]
 
-def passes(rows: Column, c: dict[str, Column], unambiguous: bool = False) -> Column:
-    """The checks on an answer: not empty; percents within (0, 100]; ranks from
-    1 in every group and no higher than n; whole shares add up to 100.  With
-    ``unambiguous`` ranked rows of a group must not tie either."""
     def row_ok(x: Column) -> Column:
-        mates = F.filter(rows, lambda y: y["i"] == x["i"])
-        shares = F.aggregate(mates, F.lit(0.0), lambda a, y: a + F.coalesce(y["pct"], F.lit(0.0)))
         return ((x["pct"].isNull() | ((x["pct"] > 0) & (x["pct"] <= 100.0001)))
-                & (x["rnk"].isNull() | (F.exists(mates, lambda y: y["rnk"] == 1) & ((c["kind"] != "topn") | (x["rnk"] <= c["n"]))))
-                & ((c["kind"] != "share") | (F.abs(shares - 100) < 0.01))
-                & (~c["kind"].isin("topn", "top1", "rank") | F.lit(not unambiguous) | (F.size(F.filter(mates, lambda y: y["total"] == x["total"])) == 1)))
-    return (F.size(rows) > 0) & F.forall(rows, row_ok)
+                & (x["rnk"].isNull() | (kind != "topn") | (x["rnk"] <= c["n"])))
+
+    def group_ok(rows: Column) -> Column:
+        shares = F.aggregate(rows, F.lit(0.0), lambda a, y: a + F.coalesce(y["pct"], F.lit(0.0)))
+        ok = (F.forall(rows, row_ok) & (~kind.isin("topn", "rank") | F.exists(rows, lambda y: y["rnk"] == 1))
+              & ((kind != "share") | (F.abs(shares - 100) < 0.01)))
+        if unambiguous:
+            distinct = F.size(F.array_distinct(F.transform(rows, lambda y: y["total"]))) == F.size(rows)
+            ok = ok & (~kind.isin("topn", "top1", "rank") | distinct)
+        return (F.size(rows) == 0) | ok
+
+    return F.exists(answers, lambda rows: F.size(rows) > 0) & F.forall(answers, group_ok)
 
 
 def first_valid(gen_id: Column, attempts: int = ATTEMPTS, unambiguous: bool = False) -> Column:
     """The first attempt (from 0) that passes, -1 if none of ``attempts`` does."""
     def good(a: Column) -> Column:
-        def tried(key: Column) -> Column:
-            c = choices(key)
-            return let(F.struct(*[v.alias(k) for k, v in c.items()]), lambda s: with_choices(key, {k: s[k] for k in c}))
-
-        def with_choices(key: Column, c: dict[str, Column]) -> Column:
-            return let(fact_rows(key, c), lambda f: let(answer(f, c), lambda r: passes(r, c, unambiguous)))
-        return let(attempt_key(gen_id, a), tried)
+        return let(attempt_key(gen_id, a), lambda key: let(choices(key), lambda c: let(
+            answer_groups(fact_groups(key, c), c), lambda answers: passes(answers, c, unambiguous))))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(-1),
                        lambda found, a: F.when(found >= 0, found).when(good(a), a).otherwise(F.lit(-1)))
@@ -209,7 +224,7 @@ def records(df: DataFrame, id_col: str, attempts: int = ATTEMPTS, unambiguous: b
     d = hold(df.select(F.col(id_col).cast("long").alias("gen_id")), attempt=first_valid(F.col("gen_id"), attempts, unambiguous))
     d = hold(d.where("attempt >= 0"), gk=attempt_key(F.col("gen_id"), F.col("attempt")))
     # the digits that ``generate.seeds`` takes, of this attempt's key
-    x = d.select("*", F.explode(F.array(F.struct(*G.choice_columns(F.col("gk"))))).alias("_c"))
+    x = d.select("*", F.explode(F.array(let(F.md5(G._key("g", "gk")), lambda digest: F.struct(*G.choice_columns(digest))))).alias("_c"))
     s = G.with_fields(x.select(*d.columns, "_c.*"))
     for name, (star, flat) in PARTS.items():
         s = s.withColumn(name, F.when(F.col("three"), G.template(star)).otherwise(G.template(flat)))
@@ -217,7 +232,9 @@ def records(df: DataFrame, id_col: str, attempts: int = ATTEMPTS, unambiguous: b
         s = s.withColumn(name, G._pick(pool, _digit("h", F.col("gk"), k) % len(pool)))
     s = s.withColumn("form", _digit("h", F.col("gk"), len(NAMES) + 1))
     c = {k: F.col(k) for k in ("kind", "n", "three", "ng", "ns")}
-    s = hold(hold(s, facts=fact_rows(F.col("gk"), c)), _answer=answer(F.col("facts"), c))
+    # plain columns: what a query does not read of them is not made
+    s = s.withColumn("_groups", fact_groups(F.col("gk"), c))
+    s = s.select("*", fact_rows(F.col("_groups")).alias("facts"), F.flatten(answer_groups(F.col("_groups"), c)).alias("_answer"))
     shown = F.transform("_answer", lambda x: F.struct(
         _named(x["i"], G.GROUP_NAMES, "goff").alias("grp"), _named(x["j"], G.SUB_NAMES, "soff").alias("sub"),
         x["total"].alias("total"), x["n_ids"].alias("n_ids"), x["pct"].alias("pct"), x["rnk"].alias("rnk")))

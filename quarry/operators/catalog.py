@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import tasks_for
+
 # -- fixed values: lines of the enrichment block --------------------------------
 HEAD_1 = "-- Column index. Each column belongs to exactly the table listed here;"
 HEAD_2 = "-- qualify every column with its own table and do not move one between tables."
@@ -24,6 +26,8 @@ INDENT = "--   "
 QUALIFIED_REF = r"\b([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\b"
 FROM_ITEM = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?"
 
+TASK_COLUMNS = 1_000_000  # rows of a catalog that one task of ``grounding_errors`` looks at
+
 
 def join_paths(cat: DataFrame) -> DataFrame:
     """A column of table t that is the primary key of another table (JN-4)."""
@@ -120,25 +124,26 @@ def grounding_errors(queries: DataFrame, cat: DataFrame) -> DataFrame:
     tables that do own it (GRD-1).
 
     ``queries``: (context_id, query_id, sql).  An alias resolves through the
-    query's FROM/JOIN items; a bare table name resolves to itself.
+    query's FROM/JOIN items; a bare table name resolves to itself.  Queries and
+    catalog are dealt by context once, over tasks that hold ``TASK_COLUMNS``
+    columns of schemas or so, and all else stays there.
     """
+    tasks = tasks_for(cat, TASK_COLUMNS)
+    items = from_items(F.col("sql"))
+    named = F.concat(F.transform(F.filter(items, lambda f: f["alias"] != ""), lambda f: F.struct(f["alias"].alias("alias"), f["tbl"].alias("tbl"))),
+                     F.transform(items, lambda f: F.struct(f["tbl"].alias("alias"), f["tbl"].alias("tbl"))))
+    q = (queries.where("context_id is not null and query_id is not null").select("context_id", "query_id", "sql").repartition(tasks, "context_id")
+         .select("context_id", "query_id", qualified_refs(F.col("sql")).alias("refs"), named.alias("named"))
+         .groupBy("context_id", "query_id")  # the texts of one query: few
+         .agg(F.array_distinct(F.flatten(F.collect_list("refs"))).alias("refs"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named")))
     # only schemas that built: elsewhere every reference would be unknown
-    queries = queries.join(cat.select("context_id").distinct(), "context_id", "left_semi")
-    refs = queries.select("context_id", "query_id",
-                          F.explode(qualified_refs(F.col("sql"))).alias("r")).select(
-        "context_id", "query_id", F.col("r.alias").alias("alias"), F.col("r.col").alias("col"))
-    items = queries.select("context_id", "query_id", F.explode(from_items(F.col("sql"))).alias("f"))
-    amap = (items.select("context_id", "query_id", F.col("f.tbl").alias("tbl"),
-                         F.col("f.alias").alias("alias"))
-            .where(F.col("alias") != "")
-            .unionByName(items.select("context_id", "query_id", F.col("f.tbl").alias("tbl"),
-                                      F.col("f.tbl").alias("alias")))
-            .distinct())
-    resolved = refs.join(amap, ["context_id", "query_id", "alias"])
-    present = cat.select("context_id", "tbl", "col")
-    missing = resolved.join(present, ["context_id", "tbl", "col"], "left_anti")
-    owners = (cat.groupBy("context_id", "col")
-              .agg(F.array_join(F.array_sort(F.collect_set("tbl")), ", ").alias("owners")))
-    return (missing.join(owners, ["context_id", "col"], "left")
-            .select("context_id", "query_id", "alias", "tbl", "col",
-                    F.coalesce("owners", F.lit("")).alias("owners")).distinct())
+    schemas = (cat.where("context_id is not null").select("context_id", "tbl", "col").repartition(tasks, "context_id")
+               .groupBy("context_id").agg(F.collect_set(F.struct("tbl", "col")).alias("cols")))
+    found = (q.join(schemas, "context_id")
+             .select("context_id", "query_id", "named", "cols", F.explode("refs").alias("r"))
+             .select("context_id", "query_id", "cols", "r.*", F.explode("named").alias("f")).where(F.col("alias") == F.col("f.alias"))
+             .select("context_id", "query_id", "cols", "alias", "col", F.col("f.tbl").alias("tbl")))
+    own = lambda x: x["col"] == F.col("col")
+    missing = found.where(~F.coalesce(F.exists("cols", lambda x: own(x) & (x["tbl"] == F.col("tbl"))), F.lit(False)))
+    owners = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("cols", own), lambda x: x["tbl"]))), ", ")
+    return missing.select("context_id", "query_id", "alias", "tbl", "col", F.coalesce(owners, F.lit("")).alias("owners")).distinct()

@@ -1,11 +1,15 @@
 """Work is dealt by the size of the input, not by the files it lies in."""
+import os
 import re
 
 from pyspark.sql import functions as F
 
+from quarry.operators import catalog as K
 from quarry.operators import generate as G
 from quarry.plans import q_generate
 from quarry.session import dealt
+from quarry.sources import io as IO
+from quarry.streaming import tail as T
 from tests.conftest import SF
 
 
@@ -42,3 +46,40 @@ def test_records_are_made_by_many_tasks(spark):
         assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     # a filter on the answer's size would make every answer twice
     assert "Filter (size(" not in _plan(q_generate.gen_answers(spark, SF))
+
+
+def test_grounding_stays_with_the_context(spark):
+    q = spark.createDataFrame([
+        (1, "a", "SELECT o.x, o.id, z.id FROM orders o JOIN items ON o.id = items.id"),
+        (1, "b", "SELECT o.x"), (1, "b", "SELECT 1 FROM items o"),  # the texts of one query id count together
+        (2, "a", "SELECT o.x FROM orders o"), (None, "a", "SELECT o.x FROM orders o"), (1, None, "SELECT o.x FROM orders o"), (1, "c", None),
+    ], "context_id long, query_id string, sql string")
+    cat = spark.createDataFrame([(1, "orders", "id"), (1, "items", "x"), (1, "third", "x"), (None, "orders", "id")], "context_id long, tbl string, col string")
+    df = K.grounding_errors(q, cat)
+    got = {tuple(r) for r in df.collect()}
+    assert got == {(1, "a", "o", "orders", "x", "items, third"), (1, "a", "items", "items", "id", "orders")}
+    kept = re.findall(r"Exchange hashpartitioning\(([^)]*)\), (\w+)", _plan(df))
+    assert {k for _, k in kept} == {"REPARTITION_BY_NUM"}
+
+
+def test_packed_json_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IO, "PART_ROWS", 40)
+    df = spark.range(100, numPartitions=1).select(F.col("id").alias("example_id"), F.lit("long text " * 50).alias("sql_context"))
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    assert IO.write_jsonl(df, plain) == IO.write_jsonl(df, packed, compression="gzip") == 100
+    size = lambda p: sum(os.path.getsize(os.path.join(p, f)) for f in os.listdir(p) if f.startswith("part"))
+    assert size(packed) * 5 < size(plain) and len([f for f in os.listdir(packed) if f.startswith("part")]) == 3
+    a, b = (IO.read_jsonl(spark, p, IO.EXAMPLE_SCHEMA) for p in (plain, packed))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and b.count() == 100
+
+
+def test_lines_of_a_long_stream_share_a_key(spark, tmp_path):
+    """A thousand lines are one or two keys of state, not one for every 512 numbers."""
+    line = F.when(F.col("id") == 4000, "END_OF_LOG").otherwise(F.concat(F.lit("line "), F.col("id").cast("string")))
+    rows = spark.range(0, 5000, 5).select(F.lit(1).cast("long").alias("stream_id"), F.col("id").alias("line_no"), line.alias("value"))
+    for part in (rows, rows.where("line_no % 2 = 0"), rows):
+        T.write_files(part, str(tmp_path / "in"), 1)
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    T.drain(T.tail_lines(src), str(tmp_path / "ckpt"), sink=str(tmp_path / "out"))
+    got = T.cut_at_end(spark.read.schema(T.LINES).parquet(str(tmp_path / "out"))).collect()
+    assert sorted(r.line_no for r in got) == list(range(0, 4001, 5)) and 5000 // T.BLOCK <= 1

@@ -45,7 +45,7 @@ def jsonl_roundtrip(spark, sf_dir):
     paths = {}
     for split in ("train", "valid"):
         paths[split] = os.path.join(base, split)
-        IO.write_jsonl(recs.where(F.col("split") == split).drop("split"), paths[split])
+        IO.write_jsonl(recs.where(F.col("split") == split).drop("split"), paths[split], compression="gzip")
     back = IO.read_splits(spark, paths, IO.EXAMPLE_SCHEMA)
     return back.select("example_id", "split", chat.user_turn("messages").alias("user_turn"),
                        F.element_at("messages", -1).getField("content").alias("answer"), "id")

@@ -34,12 +34,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "quarry-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+PART_ROWS = 500_000  # of a packed part file, which one task reads
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> int:
     """Write JSON Lines (one part file per task) and return the row count,
     measured while writing by an ``Observation`` -- no second pass (SNK-1).
+    ``compression`` (``gzip``) packs the files, which readers tell by their name;
+    such a file is not split when it is read, so long ones end at ``PART_ROWS``.
     Tables that are rewritten or kept: ``versions.VersionedTable`` (SNK-3, SNK-4)."""
     obs = Observation("rows")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode)
+    if compression:
+        w = w.option("compression", compression).option("maxRecordsPerFile", PART_ROWS)
+    w.json(path)
     return int(obs.get.get("n", 0)) if obs.get else 0
 
 

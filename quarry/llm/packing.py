@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from quarry.llm.common import held, pick, prepare, release, running_start, stage
 
 LENGTH = 1024
 DIMS, BITS, HASHED = 3, 10, 509
-CACHE = 200_000  # pre-tokens whose ids a worker remembers
+CACHE = 200_000  # pre-tokens whose ids a worker remembers, and as many that it met before those
 
 # letters, numbers and the rest of Latin text, as the vocabulary's own pattern
 # classes them; anything else goes to the tokenizer itself
@@ -42,7 +43,9 @@ def _byte_letters() -> dict[str, int]:
 
 class Ids:
     """Token ids of texts: the ids that ``tokenizers`` gives for the file at
-    ``path``, with the ids of words met before taken from memory."""
+    ``path``, with the ids of words met before taken from memory.  When that is
+    full it becomes the older half, from which words that come again are taken
+    over, so that frequent words stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,15 +62,17 @@ class Ids:
         self.special = special
         self.words = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         del spec, ranks
         release(all_=False)
 
     def _new(self, word: str) -> bytes:
         if len(word) > 200:  # the cost of merging grows faster than the word
             return np.array(self.full.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+        ids = self.known.get(word) or self.before.get(word) or array(self.type.char, self.words.encode_ordinary(word)).tobytes()
         if len(self.known) >= CACHE:
-            self.known.clear()
-        ids = self.known[word] = np.array(self.words.encode_ordinary(word), self.type).tobytes()
+            self.known, self.before = {}, self.known
+        self.known[word] = ids
         return ids
 
     def of(self, text: str) -> np.ndarray:

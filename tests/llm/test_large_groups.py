@@ -1,9 +1,39 @@
 """Groups of many different members, and more words than a worker remembers."""
+import hashlib
+import random
+
 import pytest
 
 pytest.importorskip("quarry.llm")
 
-from quarry.llm import packing  # noqa: E402
+import brute  # noqa: E402
+
+from quarry.llm import packing, suffix  # noqa: E402
+
+
+def test_chunks_of_a_crowded_anchor_are_cut_not_dealt_by_window(spark, monkeypatch):
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    common, phrase = some(20), some(90)
+    # the phrase stands in the same or another surrounding, a short common string in many
+    rows = [(i, some(60) + common + some(60) + (phrase + some(40) if i % 5 == 0 else "")) for i in range(60)]
+    rows += [(60 + i, rows[i][1][30:130]) for i in range(20)]
+    made = {}
+    stage = suffix.stage
+
+    def counted(df, name, **k):
+        out = stage(df, name, **k)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "stage", counted)
+    monkeypatch.setattr(suffix, "HOT", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffix.remove_repeats(docs).collect()}
+    assert got == brute.suffix(rows)
+    assert made["anchors"] and made["pieces"]  # a row for some windows each, not for one
+    # what is found goes by runs of windows
+    assert made["windows"] < sum(x[1] for x in got.values()) / 10
 
 
 def test_words_that_come_again_stay_remembered(monkeypatch):

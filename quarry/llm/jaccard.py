@@ -16,17 +16,21 @@ list's members are first compared with one leading set.  From the
 leader's answers follow bounds for every pair of members
 (``|x&l| + |y&l| - |l| <= |x&y| <= |x&l| + min(|x - l|, |y - l|)`` and the
 like); only pairs they leave open, between sets that are not connected yet, are
-counted.
+counted.  Where lists hold many of those, a second round of leaders connects
+what it can before.  The parity of a set's shingles in each of 512 cells bounds from below
+how many shingles two sets do not share, and a pair it rules out is not made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import mix, pick, prepare, span_hashes, stage, tidy
 from quarry.llm.shards import PLACES, Shards
@@ -36,7 +40,9 @@ from quarry.llm.wordtext import WordArrays
 GRAM, PERCENT = 5, 75
 BATCH = 1 << 20  # bytes of text worked on at once, about
 COMMON = 32  # shingles in so many documents or more come last in the prefix order
-LEADERS = 1  # rounds in which the lists' members are compared with a leader only
+LEADERS = 2  # rounds at most in which the lists' members are compared with a leader only
+FEW = 32  # open pairs for each entry of the lists that need no other leaders
+WORDS = 8  # of 64 cells, with the parities of a set
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -149,6 +155,28 @@ def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([both(p, q) for p, q in zip(x, y)], dtype="int64")
 
 
+@F.pandas_udf(StructType([StructField(f"w{i}", LongType()) for i in range(WORDS)]))
+def _parities(members: pd.Series) -> pd.DataFrame:
+    """For each cell whether an odd number of the members lie there."""
+    out = np.zeros((len(members), WORDS), np.uint64)
+    for i, m in enumerate(members):
+        h = mix(np.frombuffer(m, np.uint64))
+        odd = np.bincount((h % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
+        out[i] = np.packbits(odd).view(np.uint64)
+    return pd.DataFrame(out.view(np.int64), columns=[f"w{i}" for i in range(WORDS)])
+
+
+def _apart(p: str, q: str) -> Column:
+    """Members that only one of two sets has, at least: what both have leaves no trace."""
+    return reduce(add, [F.bit_count(F.col(f"{p}.w{i}").bitwiseXOR(F.col(f"{q}.w{i}"))) for i in range(WORDS)])
+
+
+def _alike(n: Column, m: Column, n2: Column, m2: Column, apart: Column, percent: int) -> Column:
+    """Sets of ``n`` and ``n2`` shingles, of which ``m`` and ``m2`` may be in other
+    documents, may reach the threshold if these differ by ``apart`` at least."""
+    return (m + m2 - apart) * (100 + percent) >= (n + n2) * (2 * percent)
+
+
 def _fits(n: Column, m: Column, percent: int) -> Column:
     """The sizes alone allow the threshold."""
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -216,13 +244,13 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     owns = stage(owns, "owns", clean=True)
     # one row of each class, picked by its number: sets are moved once at most
     chosen = stage(may.join(classes.select("row").hint("merge"), "row", "left_semi")
-                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), F.expr("octet_length(members) div 8").cast("int").alias("m"), "prefix", "members"), "chosen", clean=True)
+                   .select(F.struct(F.col("doc_id").alias("id"), "a").alias("s"), F.col("n").cast("int").alias("n"), F.expr("octet_length(members) div 8").cast("int").alias("m"), "prefix", "members", _parities("members").alias("bits")), "chosen", clean=True)
 
     # the order's first shingles, surely nobody else's, have no entry: positions count them all the same
-    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", "m")
-    index = index.select("t", "s", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at")).where(_met_twice(chosen)("t"))
+    index = chosen.select(F.posexplode("prefix").alias("k", "t"), "s", "n", "m", "bits")
+    index = index.select("t", "s", "n", "m", "bits", (F.col("n") - F.col("m") + F.col("k")).alias("at")).where(_met_twice(chosen)("t"))
     alone = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    lists = stage(index.join(alone.hint("merge"), "t").select("t", "s", "n", "at"), "lists", clean=True)
+    lists = stage(index.join(alone.hint("merge"), "t").select("t", "s", "n", "m", "bits", "at"), "lists", clean=True)
     links = owns.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     answers = None  # what leaders are known to share: s, leader, o, nl
     label = None
@@ -230,27 +258,34 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         at = lists.withColumn("id", F.col("s.id"))
         at = at if label is None else at.join(label.select(F.col("doc_id").alias("id"), "component").hint("merge"), "id", "left")
         at = at.withColumn("component", F.coalesce("component", "id") if label is not None else F.col("id"))
-        spread = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"),
-                                     F.min_by(F.struct("s", "id", "n", "at", "component"), F.struct(F.lit(0), "id", "s")).alias("l0"),
-                                     F.max_by(F.struct("s", "id", "n", "at", "component"), F.struct("component", "id", "s")).alias("l1")).where("lo <> hi")
-        if round_ < LEADERS:
-            # the first leader is the smallest id; later ones come from the other end, sets no leader has linked
-            lead = spread.select("t", F.col("l0" if round_ == 0 else "l1").alias("l"))
-            pairs = at.join(lead.hint("merge"), "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent)
-                                              & _meets(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"), percent))
-            pairs = pairs.select("s", "id", "n", F.col("l.s").alias("s2"), F.col("l.id").alias("id2"), F.col("l.n").alias("n2"))
-            # one leader for each set and round, the smallest of its lists'
-            pairs = (pairs.where("s <> s2").groupBy("s", "id", "n").agg(F.min(F.struct("id2", "s2", "n2")).alias("m"))
-                     .select("s", "id", "n", "m.s2", "m.id2", "m.n2"))
-        else:
+        last = round_ == LEADERS or (round_ > 0 and _few_open(at))
+        # the first leader is the smallest id; later ones come from the other end, sets no leader has linked
+        first = F.struct(F.lit(0), F.lit(0), "id", "s") if round_ == 0 else F.struct(F.bitwise_not("component"), F.xxhash64(F.lit(round_), "s"), "id", "s")
+        spread = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                     F.min_by(F.struct("s", "id", "n", "m", "bits", "at", "component"), first).alias("l")).where("lo <> hi")
+        if last:
             pairs = _open_pairs(at.join(spread.select("t").hint("merge"), "t"), percent)
-        pairs = pairs.where("s <> s2").dropDuplicates(["s", "s2"])
-        if answers is not None:
-            if round_ == LEADERS:
+            pairs = pairs.where("s <> s2").dropDuplicates(["s", "s2"])
+            if answers is not None:
                 pairs = _undecided(pairs, answers, percent)
-            pairs = pairs.join(answers.select("s", F.col("leader").alias("s2")), ["s", "s2"], "left_anti")
+        else:
+            apart = _apart("bits", "l.bits")
+            pairs = at.join(spread.select("t", "l").hint("merge"), "t").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"), percent)
+                                              & _meets(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"), percent)
+                                              & _alike(F.col("n"), F.col("m"), F.col("l.n"), F.col("l.m"), apart, percent))
+            far = F.lit(0) if round_ == 0 else apart
+            pairs = pairs.select("s", "id", "n", F.col("l.s").alias("s2"), F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), far.alias("far")).where("s <> s2")
+        if answers is not None:
+            asked = answers.select("s", F.col("leader").alias("s2"))
+            pairs = pairs.join(asked.unionByName(asked.select(F.col("s2").alias("s"), F.col("s").alias("s2"))), ["s", "s2"], "left_anti")
+        if not last:
+            # one leader for each set and round, the smallest of its lists', later the nearest one
+            pairs = (pairs.groupBy("s", "id", "n").agg(F.min(F.struct("far", "id2", "s2", "n2")).alias("l"))
+                     .select("s", "id", "n", "l.s2", "l.id2", "l.n2"))
         pairs = stage(pairs, f"pairs{round_}", clean=True)
         if pairs.isEmpty():
+            if last:
+                break
             continue  # a later round may still find some
         x = chosen.select("s", F.col("members").alias("mx"))
         y = (chosen.select(F.col("s").alias("s2"), F.col("members").alias("my"))
@@ -259,12 +294,23 @@ def join_sets(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
         answers = done if answers is None else answers.unionByName(done)
         new = done.where(_linked(F.col("o"), F.col("n"), F.col("nl"), percent)).select(F.col("id").alias("x"), F.col("id2").alias("y")).where("x <> y")
         label = components(links.unionByName(new) if label is None else new, label)
+        if last:
+            break
     if label is None:
         label = components(links)
     return (sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(label, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
+def _few_open(lists: DataFrame) -> bool:
+    """Whether the lists hold ``FEW`` pairs an entry, or less, of members in
+    different components (whatever their sizes), by counts."""
+    of = lists.groupBy("t", "component").agg(F.count("*").alias("c"))
+    of = of.groupBy("t").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    got = of.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    return (got["pairs"] or 0) <= FEW * (got["n"] or 0)
+
+
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's members in different components.  The smaller set of a
     pair (``n2``) must hold the shingle near its front; it meets the sets of its
@@ -272,11 +318,12 @@ def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     m = lists.withColumn("block", block)
     front = m.where(_meets(F.col("n"), F.col("at"), F.col("n"), F.col("at"), percent))
-    other = front.select("t", *[F.col(c).alias(f"{c}2") for c in ("s", "id", "n", "at", "component")],
+    other = front.select("t", *[F.col(c).alias(f"{c}2") for c in ("s", "id", "n", "m", "bits", "at", "component")],
                          F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
     p = m.join(other.hint("merge"), ["t", "block"]).where((F.col("component") != F.col("component2")) & (F.struct("n2", "s2") < F.struct("n", "s"))
                                             & _fits(F.col("n"), F.col("n2"), percent)
-                                            & _meets(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
+                                            & _meets(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent)
+                                            & _alike(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"), _apart("bits", "bits2"), percent))
     return p.select("s", "id", "n", "s2", "id2", "n2")
 
 

@@ -8,7 +8,7 @@ pytest.importorskip("quarry.llm")
 
 import brute  # noqa: E402
 
-from quarry.llm import packing, suffix  # noqa: E402
+from quarry.llm import jaccard, packing, suffix  # noqa: E402
 
 
 def test_chunks_of_a_crowded_anchor_are_cut_not_dealt_by_window(spark, monkeypatch):
@@ -51,3 +51,27 @@ def test_words_that_come_again_stay_remembered(monkeypatch):
     for t in texts:
         assert list(ids.of(t)) == ids.full.encode(t, add_special_tokens=False).ids
     assert asked.count(" the") == asked.count(" sat") == 1 and len(ids.known) <= 3 and len(ids.before) <= 3
+
+
+def test_a_group_of_copies_that_hardly_link_makes_few_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in r.sample(range(100), 2):
+            words[at] = f"x{r.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    made, plain = [], jaccard._open_pairs
+
+    def counted(lists, percent):
+        out = plain(lists, percent)
+        made.append((out.count(), lists.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_open_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join_sets(docs).collect()}
+    assert got == brute.jaccard(rows)
+    assert len({c for _, c in got.values()}) > 5  # many members are linked with nothing
+    assert sum(m for m, _ in made) < sum(n for _, n in made)  # fewer pairs than entries of the lists

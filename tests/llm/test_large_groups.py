@@ -36,6 +36,27 @@ def test_chunks_of_a_crowded_anchor_are_cut_not_dealt_by_window(spark, monkeypat
     assert made["windows"] < sum(x[1] for x in got.values()) / 10
 
 
+def test_pieces_of_a_crowded_anchor_are_cut_again_and_go_as_one(spark, monkeypatch):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase = some(200)
+    rows = [(i, some(70) + phrase[:200 - i % 7] + some(70)) for i in range(120)]
+    made = {}
+    stage = suffix.stage
+
+    def counted(df, name, **k):
+        out = stage(df, name, **k)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "stage", counted)
+    monkeypatch.setattr(suffix, "HOT", 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffix.remove_repeats(docs).collect()}
+    assert got == brute.suffix(rows)
+    assert made["windows"] < 1500  # 2,628 when a second anchor was the last
+
+
 def test_words_that_come_again_stay_remembered(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 3)
     ids = packing.Ids(packing.default_tokenizer())

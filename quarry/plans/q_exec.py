@@ -10,7 +10,7 @@ from quarry.operators import execute as X
 from quarry.plans.q_text import extracted
 from quarry.plans.registry import query
 from quarry.plans.views import view, with_views
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, tasks_for
 from quarry.sources.tables import load
 
 
@@ -28,10 +28,15 @@ def _wide(spark, sf_dir, models=("base", "tuned"), gold: bool = True):
     return e.select("example_id", "context", t.getField("side").alias("sides"), t.getField("sql").alias("sqls"))
 
 
+def _execute(spark, sf_dir, models=("base", "tuned"), gold: bool = True):
+    tasks = tasks_for(view(spark, sf_dir, "examples"), X.TASK_SCRIPTS)
+    return X.execute_wide(_wide(spark, sf_dir, models, gold), tasks=tasks)
+
+
 @query("execute_examples", bench=True)
 def execute_examples(spark, sf_dir):
     """One row per result row of every gold and predicted query (EXE-1)."""
-    return X.execute_wide(_wide(spark, sf_dir))
+    return _execute(spark, sf_dir)
 
 
 @query("score_examples")
@@ -42,7 +47,7 @@ def score_examples(spark, sf_dir):
     The SQLite output feeds two branches (verdicts and row keys); a reliable
     checkpoint in the shared folder runs the Python job once and keeps the
     result if an executor is lost afterwards."""
-    ex = cut_lineage(X.execute_wide(_wide(spark, sf_dir)))
+    ex = cut_lineage(_execute(spark, sf_dir))
     e = view(spark, sf_dir, "examples")
     ordered = e.select("example_id", T.is_ordered("gold_sql").alias("ordered"))
     return X.score(ex, ordered, ["base", "tuned"]).withColumnRenamed("side", "model")
@@ -51,7 +56,7 @@ def score_examples(spark, sf_dir):
 @query("verify_examples")
 def verify_examples(spark, sf_dir):
     """Examples whose gold SQL runs against their own schema (FLT-3)."""
-    r = (X.execute_wide(_wide(spark, sf_dir, models=())).groupBy("example_id")
+    r = (_execute(spark, sf_dir, models=()).groupBy("example_id")
          .agg(F.bool_and("runs").alias("runs")))
     return r.where("runs").select("example_id")
 
@@ -60,7 +65,7 @@ def verify_examples(spark, sf_dir):
 def exec_error_classes(spark, sf_dir):
     """Verdicts of the tuned model's queries: ok, no SQL, schema error, query
     error, read-only refusal (TXT-7 after execution)."""
-    x = X.execute_wide(_wide(spark, sf_dir, ("tuned",), gold=False))
+    x = _execute(spark, sf_dir, ("tuned",), gold=False)
     per = x.groupBy("example_id").agg(F.first("error", ignorenulls=True).alias("error"))
     return per.groupBy(T.error_class("error").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 

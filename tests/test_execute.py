@@ -58,3 +58,43 @@ def test_catalog_scan(spark):
     ctx = spark.createDataFrame([(1, RENTALS), (2, "not sql")], "context_id long, context string")
     rows = X.catalog_scan(ctx).where(F.col("pk") == 1).collect()
     assert [(r.context_id, r.tbl, r.col, r.type) for r in rows] == [(1, "rentals", "id", "INTEGER")]
+
+
+def test_plain_scripts_share_one_database(monkeypatch):
+    """One connection runs script after script, and each finds it empty; a
+    script with a guarded word has one of its own."""
+    opened = []
+    real = X.sqlite3.connect
+    monkeypatch.setattr(X.sqlite3, "connect", lambda *a, **k: opened.append(1) or real(*a, **k))
+    d = X._Databases(X.STEP_LIMIT)
+    sqls = ["DELETE FROM rentals", "SELECT COUNT(*) FROM rentals", "SELECT CASE WHEN days > 10 THEN 1 END AS x FROM rentals WHERE id = 1"]
+    for _ in range(20):
+        assert [r for _, r in X.run_sides(RENTALS, sqls, databases=d)] == [[], [(5,)], [(1,)]]
+        assert X.run_sides("CREATE TABLE other (a)", sqls[1:2], databases=d)[0][0] == "query error: no such table: rentals"
+        assert X.run_sides("CREATE TABLE bad (a); CREATE", sqls, databases=d)[0][0].startswith("schema error")
+        assert X._catalog_rows(d, 1, "CREATE TABLE other (a)") == [(1, "other", "a", 0, "", 0)]
+    assert len(opened) == 1
+    for script, sql in [("PRAGMA foreign_keys = ON", "SELECT 1"), ("CREATE TEMP TABLE t (a)", "SELECT 1"), (RENTALS, "END"), (RENTALS + "END;", "SELECT 1"),
+                        (RENTALS, "SELECT changes()"), (RENTALS, "SELECT * FROM pragma_table_info('rentals')"), (RENTALS, "VACUUM")]:
+        assert not X.plain(script, [sql])
+    assert X.plain("CREATE TABLE vendors (temperature, calendar)", ["SELECT CASE WHEN 1 THEN 2 END"])
+
+
+def test_stopped_queries_leave_the_data():
+    """A query that ends its transaction or its steps is a verdict; the next sides
+    read the rows of the script."""
+    n = "SELECT COUNT(*) FROM rentals"
+    endless = "WITH RECURSIVE r(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM r) INSERT INTO rentals (days) SELECT x FROM r"
+    d = X._Databases(200_000)
+    for q in (endless, "INSERT OR ROLLBACK INTO rentals (id) VALUES (1)"):
+        for _ in range(3):
+            (e1, r1), (e2, _r2), (e3, r3) = X.run_sides(RENTALS, [n, q, n], 200_000, d)
+            assert (e1, r1, e3, r3) == (None, [(5,)], None, [(5,)]) and e2.startswith("query error")
+
+
+def test_planning_runs_no_join(spark):
+    """The joins below the scripts run once, with the query, not to count partitions."""
+    bad = spark.range(4).select("id", F.raise_error(F.lit("ran")).cast("string").alias("context")).repartition(2, "id")
+    t = (spark.range(4).join(bad, "id").hint("merge")
+         .select(F.col("id").alias("example_id"), "context", F.array(F.lit("m")).alias("sides"), F.array(F.lit("SELECT 1")).alias("sqls")))
+    X.execute_wide(t)

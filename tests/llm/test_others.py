@@ -103,6 +103,31 @@ def test_overlaps_without_broadcast(spark, monkeypatch):
     assert sorted(decontam.overlaps(docs, bench).collect()) == want and len(want) >= 8
 
 
+def test_overlaps_of_a_large_benchmark(spark, monkeypatch):
+    """Seeds are joined by shuffle without the words; ids of equal items each get their pairs, and so do repeated rows."""
+    from pyspark.sql import functions as F
+    r = random.Random(5)
+    items = [[f"w{r.randrange(300)}" for _ in range(30)] for _ in range(12)] + [["la"] * 40]
+    texts = [[f"o{r.randrange(9000)}" for _ in range(n)] + items[i % 13][:n] + items[i * 5 % 13][7:] for i, n in enumerate([25, 3000, 8, 40, 12] * 4)]
+    rows = [(i % 15, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(texts[0])), (3, " ".join(texts[3])), (3, " ".join(texts[3]).upper()), (99, None), (98, "?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = [(i, " ".join(t)) for i, t in enumerate(items)]
+    bench = spark.createDataFrame(some + [(i + 50, t) for i, t in some[:6]] + [(None, some[1][1]), (8, some[2][1]), (7, None), (20, "La, la!")], "item_id long, text string")
+    want = sorted(map(str, decontam.overlaps(docs, bench).collect()))
+    alone = sorted(map(str, decontam.overlaps(docs, bench.where("item_id between 50 and 59")).collect()))
+    assert len(want) > 40 and alone == [x for x in want if "item_id=5" in x and "item_id=5," not in x]
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    far = decontam.overlaps(docs, bench)
+    assert sorted(map(str, far.collect())) == want
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # rows of seeds, four a word, hold no array of words
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    passed = decontam.known(spark.range(60000).select("id", F.xxhash64("id").alias("h")), "h", keys).select("id").collect()
+    assert {x.id for x in passed} >= set(range(3000)) and len(passed) < 4500
+    monkeypatch.setattr(decontam, "MOST_BLOCKS", 2)  # a full map lets more through and loses none
+    assert sorted(map(str, decontam.overlaps(docs, bench).collect())) == want
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = [a + b + c for a in "bdgklm" for b in "aeiou" for c in ("ra", "lin", "tos")]
